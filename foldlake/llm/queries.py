@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate
+from foldlake.llm import decontaminate, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": langid.op4,
     "op9_decontaminate": decontaminate.op9,
 }
 
