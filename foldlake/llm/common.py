@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -19,8 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a SparkContext, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foldlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="foldlake-")) / "foldlake.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((root / "foldlake").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._foldlake_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of a batch sent to Python, so that a run of long texts fits in a worker's memory."""
+    """Before work in Python: ship the package, and bound the rows of a batch, so that a run of long texts fits in memory."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:

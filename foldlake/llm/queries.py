@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, langid
+from foldlake.llm import decontaminate, langid, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
     "op9_decontaminate": decontaminate.op9,
 }
