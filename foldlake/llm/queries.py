@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, langid, minhash
+from foldlake.llm import decontaminate, langid, minhash, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
+    "op7_secret_scan": secrets.op7,
     "op9_decontaminate": decontaminate.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_secret_scan": secrets.ORACLE,
+}
