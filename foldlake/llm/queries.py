@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, langid, minhash, secrets
+from foldlake.llm import decontaminate, langid, minhash, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
     "op7_secret_scan": secrets.op7,
     "op9_decontaminate": decontaminate.op9,
+    "op10_mixing": mixing.op10,
 }
 
 ORACLES: dict[str, str] = {
