@@ -7,8 +7,9 @@
 3. In each bucket the representatives are joined to the smallest id of the bucket: a star, as many edges as members. The edges are
    checked on the full sets by exact integer arithmetic, and the links give components.
 4. A link can exist between two members of a bucket neither of which links to its centre. So buckets whose members still lie in
-   different components are finished: small ones by their own pairs (at most SMALL_BUCKET members), larger ones by blocks of
-   at most BLOCK members, of which only those outside the bucket's main component are held against all others. Nothing is dropped.
+   different components are finished. First the members go of which too many shingles occur in no other set of such a bucket:
+   they can't link with any. Then small buckets are finished by their own pairs (at most SMALL_BUCKET members), larger ones by blocks of
+   about BLOCK members, of which only those outside the bucket's main component are held against all others. Nothing is dropped.
    This last step is quadratic in the left-over members of one bucket, but in blocks spread over tasks, and only links come out.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: with 4 and 32, 1 - 5e-11 at s = 0.85.
@@ -31,7 +32,7 @@ from foldlake.llm.components import components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 BIN_SHIFT = np.uint64(64 - 7)
-SMALL_BUCKET, BLOCK = 8, 128
+SMALL_BUCKET, BLOCK = 8, 256
 
 SHINGLE, THRESHOLD = 5, 80  # of the operator, unless a contract says otherwise
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -157,16 +158,32 @@ def _block_links(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(links, "a long, b long")
 
 
-def _left_over(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a bucket that still lie in different components, none of them the bucket's centre."""
-    at = members.join(known.withColumnRenamed("node", "id"), "id", "left")
-    at = at.withColumn("component", F.coalesce("component", "id")).where("id <> centre")
+def _open(at: DataFrame) -> DataFrame:
+    """The members of buckets that lie in more than one component, with the bucket's counts and its largest component."""
     parts = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"),
         F.max("n").alias("most"),
     )
-    open_ = stored(at.join(main.where("parts > 1"), "bucket"), "open-buckets")
+    return at.join(main.where("parts > 1"), "bucket")
+
+
+def _may_link(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ids that could link with another of ids: enough of their shingles occur in some other set as well."""
+    shingles = sets.join(ids, "id", "left_semi").select("id", F.explode("own").alias("h"))
+    alone = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    n = sets.join(ids, "id", "left_semi").select("id", F.size("own").alias("size")).join(alone, "id", "left")
+    return n.where(100 * (F.col("size") - F.coalesce("alone", F.lit(0))) >= percent * F.col("size")).select("id")
+
+
+def _left_over(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that still lie in different components, none of them the bucket's centre."""
+    at = members.join(known.withColumnRenamed("node", "id"), "id", "left")
+    at = at.withColumn("component", F.coalesce("component", "id")).where("id <> centre")
+    at = stored(_open(at).select("bucket", "id", "component"), "open-buckets")
+    able = stored(_may_link(stored(at.select("id").distinct(), "open-ids"), sets, percent), "able-ids")
+    open_ = stored(_open(at.join(able, "id", "left_semi")), "open-able-buckets")
     few = open_.where(F.col("n") <= SMALL_BUCKET)
     one, two = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("p")), few.select(
         "bucket", F.col("id").alias("b"), F.col("component").alias("q")
