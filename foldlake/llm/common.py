@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldlake.sources.shipping import shared_dir, shared_path, ship  # noqa: F401
+
 #: Rows in an Arrow batch that goes to Python; long texts make larger batches costly.
 BATCH_ROWS = 512
 
@@ -21,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a SparkContext, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_foldlake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    path = Path(tempfile.mkdtemp(prefix="foldlake-")) / "foldlake.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted((root / "foldlake").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(path))
-    sc._foldlake_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before work in Python: ship the package, and bound the rows of a batch, so that a run of long texts fits in memory."""
     ship(spark)
@@ -44,22 +27,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        held = getattr(spark, "_foldlake_shared", None)
-        folder = held or tempfile.mkdtemp(prefix="foldlake-")
-        spark._foldlake_shared = folder
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

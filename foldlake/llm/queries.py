@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, langid, minhash, mixing, secrets
+from foldlake.llm import decontaminate, langid, minhash, mixing, secrets, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
     "op7_secret_scan": secrets.op7,
+    "op8_url_filter": urlfilter.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_mixing": mixing.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op7_secret_scan": secrets.ORACLE,
+    "op8_url_filter": urlfilter.ORACLE,
 }
