@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, langid, minhash, mixing, secrets, urlfilter
+from foldlake.llm import decontaminate, langid, minhash, mixing, secrets, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1,
     "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
     "op7_secret_scan": secrets.op7,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
 }
