@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import decontaminate, itq, langid, maxent, minhash, mixing, secrets, urlfilter, warc
+from foldlake.llm import bwt, decontaminate, itq, langid, maxent, minhash, mixing, secrets, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1,
     "op2_maxent": maxent.op2,
     "op3_minhash": minhash.op3,
     "op4_language_id": langid.op4,
+    "op5_bwt": bwt.op5,
     "op6_itq": itq.op6,
     "op7_secret_scan": secrets.op7,
     "op8_url_filter": urlfilter.op8,
