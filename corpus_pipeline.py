@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlake.llm import decontaminate, langid, minhash, mixing, secrets
-from foldlake.llm.common import shared_path, table
+from foldlake.llm.common import shared_path, stored, table
 
 #: A document stays if its largest language has at least this share of it.
 LEAST_SHARE = 0.5
@@ -24,7 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the least id stays."""
     found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id"))
+    # stored, so that Spark knows its size when it chooses between broadcasting it and shuffling the texts
+    gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("doc_id")), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
