@@ -6,6 +6,7 @@ task can hold one log, whose size is bounded by rotation, or one run, whose size
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -179,10 +180,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, file_id, path, length) of logs, runs and manifests, without reading their content."""
-    from pyspark.sql import functions as F
-
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    number = F.regexp_extract("path", r"(?:^|/)(\d+)\.(?:wal|sst|mf)$", 1)
-    kind = F.regexp_extract("path", r"\.(wal|sst|mf)$", 1)
-    return files.where(number != "").select(kind.alias("kind"), number.cast("int").alias("file_id"), "path", "length")
+    """(kind, file_id, path, length) of the logs, runs and manifests in a folder, empty ones too, without opening them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = []
+    for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
+        if m := re.fullmatch(r"(\d+)\.(wal|sst|mf)", f.getPath().getName()):
+            found.append((m[2], int(m[1]), f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(found, "kind string, file_id int, path string, length long")
