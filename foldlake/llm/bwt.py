@@ -330,7 +330,7 @@ def _hashed_spans(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("start", pa.int32())]))
 
     every = pieces.mapInArrow(windows, "a long, b long, id long, start int")
-    least = every.groupBy("a", "b").agg(F.min("id").alias("least"))
+    least = stored(every.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least-of-windows")
     return every.join(least, ["a", "b"]).where("id > least").select("id", "start", (F.col("start") + SPAN).alias("end"))
 
 

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from foldlake.llm.common import drop_stored, stored
 
 
-def _towards_least(pairs: DataFrame) -> DataFrame:
+#: Edges that one partition takes; a graph with fewer needs no shuffle.
+EDGES = 250_000
+
+
+def _fitted(edges: DataFrame, n: int) -> DataFrame:
+    return edges.coalesce(-(-n // EDGES) or 1)
+
+
+def _towards_least(pairs: DataFrame, n: int) -> DataFrame:
     """Each node u and its neighbours v as rows (u, v); points every v to the least of u's neighbourhood."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    if n > EDGES:  # as a table of its own, so that Spark can split a node with very many edges in the join
+        least = stored(least, "least")
     return pairs.join(least, "u")
 
 
@@ -23,15 +33,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = links.select(F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y")).where("x <> y")
     edges = stored(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    mark = None
+    mark, n = None, edges.count()
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = _fitted(edges, n)
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(ends))  # not a union, which would have twice the partitions
+        large = _towards_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         held = stored(large, "large-star")
-        small = _towards_least(held)
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))
+        small = _towards_least(_fitted(held, n), n).select(
+            F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         )
         now = stored(small.where("u <> v").distinct(), "small-star")
         drop_stored(edges)
@@ -41,6 +52,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         at = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(at):
             break
-        mark = tuple(at)
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        mark, n = tuple(at), at[0]
+    edges = _fitted(edges, n)
+    nodes = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+    return edges.select(F.inline(nodes)).distinct()

@@ -165,7 +165,8 @@ def _open(at: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"),
         F.max("n").alias("most"),
     )
-    return at.join(main.where("parts > 1"), "bucket")
+    # stored: a join with a plain table is one that Spark can split where a bucket is large
+    return at.join(stored(main.where("parts > 1"), "main-components"), "bucket")
 
 
 def _may_link(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     reps = usable.join(chosen, ["id", "set_a", "set_b"], "left_semi")
     rows = reps.select("id", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    members = stored(rows.join(shared, "bucket"), "bucket-members")
+    members = stored(rows.join(stored(shared, "shared-buckets"), "bucket"), "bucket-members")
     stars = stored(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     ids = stored(members.select("id").distinct(), "ids-in-buckets")
     own = stored(full_sets(docs, ids, key, text, size), "sets-in-buckets")
