@@ -224,5 +224,4 @@ def op9(spark, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
-        "found.longest",
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlake.llm import bwt, decontaminate, itq, langid, maxent, minhash, mixing, secrets, urlfilter, warc
+from foldlake.llm import bwt, decontaminate, itq, langid, maxent, minhash, mixing, oracles, secrets, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1,
@@ -23,6 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op3_minhash": oracles.OP3,
+    "op5_bwt": oracles.OP5,
+    "op6_itq": oracles.OP6,
     "op7_secret_scan": secrets.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
+    "op9_decontaminate": oracles.OP9,
 }
