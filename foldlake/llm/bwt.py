@@ -248,6 +248,8 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray,
 
 def runs_of(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows at consecutive offsets of a string as (string, first offset, end of the last window)."""
+    if not len(string):
+        return string, offset, offset
     order = np.lexsort((offset, string))
     string, offset = string[order], offset[order]
     new = np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)])
