@@ -1,8 +1,8 @@
 """Web archives and a two-level capture index over them.
 
-Writing. Pages are dealt to shards by size; a shard is one WARC/1.1 file. A record's bytes are a text row and the row separator is the
-blank line that ends a WARC record, so Spark's text writer produces the archive on any file system; offsets are running sums of
-record lengths within a shard. Of pages with equal payloads (at least LEAST_REVISIT bytes) the one with the smallest id is stored as a
+Writing. Pages are dealt to shards by size; a shard is one compressed WARC/1.1 file, each record a gzip member of its own. A member's
+bytes are a text row and the row separator is an empty member, so Spark's text writer produces the archive on any file system and any
+gzip reader reads it; offsets are running sums of member lengths within a shard. Of pages with equal payloads (at least LEAST_REVISIT bytes) the one with the smallest id is stored as a
 response, and the others are revisit records that refer to it.
 
 Index. An entry is (key, page id, shard, offset, length, payload digest), its key the url with its host reversed by labels. Entries
@@ -27,9 +27,11 @@ import zlib
 from bisect import bisect_left, bisect_right
 from urllib.parse import quote, unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foldlake.llm.common import bytes_of, shared_path, small_batches, stored
@@ -37,7 +39,10 @@ from foldlake.llm.common import bytes_of, shared_path, small_batches, stored
 LEAST_REVISIT = 100
 SHARD_BYTES = 16 << 20
 BLOCK_ENTRIES, DIRECTORY_ENTRIES, KEY_CHARS = 1000, 1 << 16, 256
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+GZIP = 31  # zlib's number for gzip framing
+#: A gzip member without content: what the text writer puts after each record.
+SEPARATOR = zlib.compressobj(9, zlib.DEFLATED, GZIP).flush()
 
 ENTRY = "key string, page_id long, shard int, offset long, length long, digest string"
 RECORD = (
@@ -72,65 +77,88 @@ def with_decisions(pages: DataFrame, key: str = "page_id", html: str = "html", u
     return out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
 
 
-def _header(now: str) -> tuple[Column, Column]:
-    """(header block up to the payload, bytes of the stored payload)."""
+def _header(date: str) -> Column:
+    """The header block of a record, with the blank line after it."""
     revisit = F.col("refers_to").isNotNull()
-    length = F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    # a url may hold line ends or other characters that a header can't; only these are escaped
-    safe = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "%", "%25"), r"\r", "%0D")
-    safe = F.regexp_replace(safe, r"\n", "%0A")
+    # a url may hold line ends, which a header can't; only these, and the sign that escapes them, are escaped
+    safe = F.coalesce(F.col("url"), F.lit(""))
+    for sign, code in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")):
+        safe = F.replace(safe, F.lit(sign), F.lit(code))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.lit(f"WARC-Date: {now}"),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), safe),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), length.cast("string")),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.col("payload_bytes")).cast("string")),
     ]
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit(END)), length
+    return F.concat(F.concat_ws("\r\n", *lines), F.lit(END.decode()))
+
+
+@F.pandas_udf(T.BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    def gzip(record: bytes) -> bytes:
+        c = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+        return c.compress(record) + c.flush()
+
+    return records.map(gzip)
 
 
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, date: str = "2024-01-01T00:00:00Z", **names) -> DataFrame:
-    """Write folder/shard=N/part-*.txt, one WARC file a shard; returns the index's entries (a stored table)."""
+    """Write folder/shard=N/part-*, one file of WARC records a shard; returns the index's entries (a stored table).
+
+    The records are shuffled once, for the files. The entries are computed by a second, narrow job: which shard a record is dealt to
+    and its place there depend on its content alone, so both jobs agree, and so do tasks that are run again.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
     decided = with_decisions(pages, **names)
-    head, length = _header(date)
     payload = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    records = decided.select(
-        "page_id", reversed_key("url").alias("key"), "digest", F.concat(head.cast("binary"), payload).alias("record")
-    ).withColumn("length", F.octet_length("record").cast("bigint"))
+    record = _member(F.concat(_header(date).cast("binary"), payload, F.lit(END)))
+    records = decided.select("page_id", reversed_key("url").alias("key"), "digest", record.alias("record"))
     total = pages.agg(F.sum(F.octet_length(F.col(names.get("html", "html"))))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    # a hash of page and content deals records evenly, whichever hosts or copies are frequent, and alike when a task is run again
-    dealt = records.withColumn("shard", F.pmod(F.xxhash64("page_id", "key", "digest"), F.lit(shards)).cast("int"))
-    held = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "key")
-    path = shared_path(pages.sparkSession, "warc-records")
-    held.write.parquet(path)  # cut here: the order within a shard must be the same for the files and for the offsets
-    held = pages.sparkSession.read.schema(held.schema).parquet(path)
-    order = Window.partitionBy("shard").orderBy("page_id", "key", "digest", F.xxhash64("record"))
-    before = F.coalesce(F.sum(F.col("length") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = held.withColumns({"offset": before.cast("bigint"), "place": F.row_number().over(order)})
-    out = placed.select("shard", "offset", F.col("record").cast("string").alias("record")).repartition(shards, "shard")
-    out.sortWithinPartitions("shard", "offset").select("shard", "record").write.partitionBy("shard").option("lineSep", END).text(folder)
-    return stored(placed.select("key", "page_id", "shard", "offset", "length", "digest"), "warc-entries")
-
-
-def parse(data: bytes, offset: int = 0) -> tuple[dict, bytes, int]:
-    """(headers in lower case, payload, offset of the next record) of the record at offset."""
-    end = data.index(END.encode(), offset)
-    lines = data[offset:end].decode("utf-8").split("\r\n")
+    dealt = records.select(
+        "*", F.octet_length("record").cast("bigint").alias("length"), F.xxhash64("record").alias("mark"),
+        F.pmod(F.xxhash64("page_id", "key", "digest"), F.lit(shards)).cast("int").alias("shard"),
+    )
+    order = ["page_id", "key", "digest", "mark"]  # records that agree in all of these are equal
+    files = dealt.select("shard", *order, F.col("record").cast("string").alias("record")).repartition(shards, "shard")
+    files = files.sortWithinPartitions("shard", *order).select("shard", "record")
+    files.write.partitionBy("shard").option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(folder)
+    w = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("length") + len(SEPARATOR)).over(w), F.lit(0)).cast("bigint")
+    return stored(dealt.drop("record").select("key", "page_id", "shard", before.alias("offset"), "length", "digest"), "warc-entries")
+
+
+def member(data: bytes, offset: int) -> tuple[bytes, int]:
+    """(content, end) of the gzip member at offset, fed in pieces so that what follows isn't copied."""
+    c, at, out = zlib.decompressobj(GZIP), offset, []
+    while not c.eof:
+        if at >= len(data):
+            raise ValueError(f"the record at {offset} is cut off")
+        out.append(c.decompress(data[at : at + 65536]))
+        at += 65536
+    return b"".join(out), min(at, len(data)) - len(c.unused_data)
+
+
+def parse(record: bytes) -> tuple[dict, bytes]:
+    """(headers in lower case, payload) of a record."""
+    end = record.index(END)
+    lines = record[:end].decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
-        raise ValueError(f"no record at {offset}")
+        raise ValueError("not a record")
     headers = dict((k.lower(), v) for k, _, v in (line.partition(": ") for line in lines[1:]))
-    start = end + 4
+    start = end + len(END)
     stop = start + int(headers["content-length"])
-    if data[stop : stop + 4] != END.encode():
-        raise ValueError(f"the record at {offset} is cut off")
-    return headers, data[start:stop], stop + 4
+    if record[stop:] != END:
+        raise ValueError("content and length disagree")
+    return headers, record[start:stop]
 
 
 def described(headers: dict, payload: bytes) -> dict:
@@ -154,9 +182,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 shard, at, rows = int(path.rsplit("shard=", 1)[1].split("/")[0]), 0, []
                 while at < len(data):
-                    headers, payload, after = parse(data, at)
-                    rows.append({"shard": shard, "offset": at, "length": after - at - len(END), **described(headers, payload)})
-                    at = after
+                    content, end = member(data, at)
+                    rows.append({"shard": shard, "offset": at, "length": end - at, **described(*parse(content))})
+                    at = end + len(SEPARATOR)
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
 
     return files.select("path", "content").mapInArrow(decode, RECORD)
@@ -279,11 +307,10 @@ def read_range(spark: SparkSession, folder: str, shard: int, offset: int, length
     stream = fs.open(file)
     try:
         stream.seek(offset)
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length + len(END)))
+        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
     finally:
         stream.close()
-    headers, payload, _ = parse(data)
-    return headers, payload
+    return parse(member(data, 0)[0])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
