@@ -74,8 +74,8 @@ def sized(df: DataFrame) -> DataFrame:
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     df = sized(log(spark, d))
-    top = F.broadcast(df.agg(F.max("lsn").alias("top")))  # one row
-    return df.crossJoin(top).withColumn("run", F.expr("3 - ((lsn - 1) * 4) div top")).drop("top")
+    top = df.agg(F.max("lsn")).first()[0] or 1
+    return df.withColumn("run", F.expr(f"3 - ((lsn - 1) * 4) div {top}"))
 
 
 def as_files(spark: SparkSession, d: str) -> DataFrame:
