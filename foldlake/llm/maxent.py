@@ -41,6 +41,8 @@ SHORT, CLASSES = WIDTH * SHORT_CLASSES, SHORT_CLASSES + TAIL
 NONE = SHORT + TAIL  # the symbol before a text begins
 SYMBOLS, PAIRS, WITHIN = NONE + 1, 8192, 8192
 ROUNDS, RATE, BATCH = 2, 0.15, 4096
+EAGER, EAGER_BATCH = 96, 512  # the first steps of a task are small and update all tables
+CLASS_FEATURES, WORD_FEATURES = ("last", "skip", "third", "pair"), ("word_last", "word_skip", "word")
 FLUSH = 600_000  # distinct words a task counts before it passes them on
 END = b""
 ADD = 0.1
@@ -125,56 +127,70 @@ class Model:
         pair = ((one * SYMBOLS + two) * 0x9E3779B1 >> 13) % PAIRS
         return one, two, three, pair
 
-    def probabilities(self, symbols: np.ndarray, at: np.ndarray):
-        """ln P(class) and ln P(word | class) at places, and what a gradient step needs."""
+    def class_part(self, symbols: np.ndarray, at: np.ndarray):
+        """ln P(class) at places; and for a step exp(scores), their sums, classes, and rows of each feature."""
         w = self.w
-        one, two, three, pair = self.history(symbols, at)
-        z = w["last"][one]
-        z += w["skip"][two]
-        z += w["third"][three]
-        z += w["pair"][pair]
+        rows = self.history(symbols, at)
+        z = w["last"][rows[0]]
+        for name, idx in zip(CLASS_FEATURES[1:], rows[1:]):
+            z += w[name][idx]
         z += w["class"][0]
         own = symbols[at]
-        short = np.flatnonzero(own < SHORT)
         cls = np.where(own < SHORT, own // WIDTH, own - SHORT + SHORT_CLASSES)
         z -= z.max(axis=1, keepdims=True)
         chosen = z[np.arange(len(at)), cls]
         np.exp(z, out=z)
         total = z.sum(axis=1)
-        log_class = chosen - np.log(total)
-        c, p = cls[short], own[short] % WIDTH
-        a = ((one[short] * SHORT_CLASSES + c) * 0x9E3779B1 >> 11) % WITHIN
-        b = ((two[short] * SHORT_CLASSES + c) * 0x85EBCA6B >> 11) % WITHIN
+        return chosen - np.log(total), z, total, cls, rows
+
+    def word_part(self, symbols: np.ndarray, at: np.ndarray):
+        """ln P(word | class) at places that hold short words; and for a step exp(scores), sums, words, and rows of each feature."""
+        w = self.w
+        own = symbols[at]
+        c, p = own // WIDTH, own % WIDTH
+        a = ((symbols[at - 1] * SHORT_CLASSES + c) * 0x9E3779B1 >> 11) % WITHIN
+        b = ((symbols[at - 2] * SHORT_CLASSES + c) * 0x85EBCA6B >> 11) % WITHIN
         y = w["word_last"][a]
         y += w["word_skip"][b]
         y += w["word"][c]
         y -= y.max(axis=1, keepdims=True)
-        picked = y[np.arange(len(short)), p]
+        picked = y[np.arange(len(at)), p]
         np.exp(y, out=y)
         sums = y.sum(axis=1)
-        return log_class, short, picked - np.log(sums), (z, total, cls, (one, two, three, pair), y, sums, c, p, a, b)
+        return picked - np.log(sums), y, sums, p, (a, b, c)
+
+    def probabilities(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ln P(class) at places, which of them hold short words, and ln P(word | class) of these."""
+        short = np.flatnonzero(symbols[at] < SHORT)
+        return self.class_part(symbols, at)[0], short, self.word_part(symbols, at[short])[0]
 
-    def step(self, symbols: np.ndarray, at: np.ndarray, seen: dict[str, np.ndarray]) -> None:
-        *_, (z, total, cls, rows, y, sums, c, p, a, b) = self.probabilities(symbols, at)
+    def step(self, symbols: np.ndarray, at: np.ndarray, seen: dict[str, np.ndarray], no: int) -> None:
+        """A gradient step on a minibatch. The first EAGER update all tables; after that a step takes the class features by turns, and
+        every second one the words, so that all tokens train the model at the cost of about one table each."""
+        _, z, total, cls, rows = self.class_part(symbols, at)
         z /= -total[:, None]
         z[np.arange(len(at)), cls] += 1
-        for name, idx in zip(("last", "skip", "third", "pair"), rows):
-            self._add(name, idx, z, seen)
-        self._add("class", np.zeros(len(at), np.int64), z, seen)
-        if len(c):
+        for k, (name, idx) in enumerate(zip(CLASS_FEATURES, rows)):
+            if no < EAGER or no % len(CLASS_FEATURES) == k:
+                self._add(name, idx, z, seen)
+        self._apply("class", np.zeros(1, np.int64), z.sum(axis=0, keepdims=True), seen)
+        short = at[symbols[at] < SHORT]
+        if len(short) and (no < EAGER or no % 2):
+            _, y, sums, p, rows = self.word_part(symbols, short)
             y /= -sums[:, None]
-            y[np.arange(len(c)), p] += 1
-            for name, idx in (("word_last", a), ("word_skip", b), ("word", c)):
+            y[np.arange(len(short)), p] += 1
+            for name, idx in zip(WORD_FEATURES, rows):
                 self._add(name, idx, y, seen)
 
     def _add(self, name: str, idx: np.ndarray, g: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         order = np.argsort(idx.astype(np.uint16), kind="stable")  # a radix sort
         rows = idx[order]
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        sums = np.add.reduceat(g[order], starts, axis=0)
-        rows = rows[starts]
+        self._apply(name, rows[starts], np.add.reduceat(g[order], starts, axis=0), seen)
+
+    def _apply(self, name: str, rows: np.ndarray, sums: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         s = seen[name]
-        s[rows] += np.einsum("ij,ij->i", sums, sums) / g.shape[1]
+        s[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         self.w[name][rows] += (RATE / np.sqrt(s[rows] + 1e-3))[:, None] * sums
 
 
@@ -225,7 +241,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
             v = held.value
             index = v.index()
             of_head = v.classes(index)
-            model, n = Model(_shaped(now.value)), 0
+            model, n, no = Model(_shaped(now.value)), 0, 0
             seen = {name: np.zeros(shape[0], np.float32) for name, shape in TABLES.items()}
             for batch in batches:
                 data = batch.column("data").to_pylist()
@@ -233,8 +249,11 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
                     continue
                 symbols, at, *_ = _symbols(data, index, of_head)
                 n += len(at)
-                for i in range(0, len(at), BATCH):
-                    model.step(symbols, at[i : i + BATCH], seen)
+                i = 0
+                while i < len(at):
+                    size = EAGER_BATCH if no < EAGER else BATCH
+                    model.step(symbols, at[i : i + size], seen, no)
+                    i, no = i + size, no + 1
             if not n:
                 return
             change = _flat(model.w) - now.value
@@ -299,22 +318,26 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", ro
                 continue
             symbols, at, ids, text_no, outside = _symbols(batch.column("data").to_pylist(), index, of_head)
             value = np.zeros(len(at))
-            for i in range(0, len(at), 2 * BATCH):
-                log_class, short, log_word, _ = model.probabilities(symbols, at[i : i + 2 * BATCH])
+            for i in range(0, len(at), BATCH):
+                log_class, short, log_word = model.probabilities(symbols, at[i : i + BATCH])
                 part = log_class.astype(np.float64)
                 part[short] += log_word
-                value[i : i + 2 * BATCH] = part
+                value[i : i + BATCH] = part
             value /= math.log(10)
             inside, own = ids >= 0, symbols[at]
             known = np.where(inside, log_count[np.maximum(ids, 0)], 0.0)
             rare = own >= SHORT
             value += np.where(rare, known - v.tail_log[np.where(rare, own - SHORT, 0)], 0.0)
             per = lambda x: np.bincount(text_no, x, n_rows)
-            tails = [[{"word": w, "times": c} for w, c in Counter(o).items()] for o in outside]
+            tails = [Counter(o) for o in outside]
+            ends = np.cumsum([0, *map(len, tails)])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array([w for t in tails for w in t], pa.binary()), pa.array([c for t in tails for c in t.values()], pa.int64())], ["word", "times"]
+            ))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), pa.array((task << 33) + k + np.arange(n_rows)),
                  pa.array(np.bincount(text_no, minlength=n_rows).astype(np.int64)), pa.array(per(inside).astype(np.int64)),
-                 pa.array(per(known)), pa.array(per(value)), pa.array(tails, TAILS)],
+                 pa.array(per(known)), pa.array(per(value)), tails],
                 names=["id", "held_out", "row", "n_tokens", "n_head", "head_log", "model_log", "tails"],
             )
             k += n_rows
@@ -337,9 +360,6 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", ro
     )
 
 
-TAILS = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
     from foldlake.llm.common import table
 
