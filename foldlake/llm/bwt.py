@@ -7,12 +7,12 @@ A byte goes if a string of SPAN bytes covers it that also starts in a document w
    anchor. Anchors (4 bytes of hash, 4 of the stretch's hash, id, start, length) are dealt by hash as packed arrays.
 2. Pre-aggregation. Of stretches that are equal as a whole, the one in the smallest document stays and the others are removed whole.
    An anchor that lies in one document alone is done. What is left are different stretches around one anchor.
-3. Merged transforms. Those stretches are cut from the texts and dealt by anchor. In each task they are split into SHARDS; a shard's
-   suffixes are sorted and its Burrows-Wheeler transform is kept. The transforms are merged by interleave refinement (Holt & McMillan
-   2014): an array says from which shard each suffix comes; stably sorting it by the symbols that it reads off the transforms, h times,
-   orders all suffixes by their first h symbols without comparing them again. The boundaries that appear in round h are common
-   prefixes of length h - 1 (Egidi & Manzini's Gap), so that after SPAN rounds the intervals left are exactly the suffixes that share
-   SPAN bytes. Each interval's smallest document decides for its members.
+3. Merged transforms. Those stretches are cut from the texts and dealt by anchor. In each task they are split into two shards; a
+   shard's suffixes are sorted and its Burrows-Wheeler transform is kept. The transforms are merged by interleave refinement (Holt &
+   McMillan 2014): an array says from which shard each suffix comes; stably sorting it by the symbols that it reads off the transforms,
+   two at a time, h times, orders all suffixes by their first 2h symbols without comparing them again. The boundaries that appear in a
+   round are common prefixes of less than 2h symbols (Egidi & Manzini's Gap), so that after SPAN / 2 rounds the intervals left are
+   exactly the suffixes that share SPAN bytes. Each interval's smallest document decides for its members.
 4. The removed spans of a document are joined to its text (broadcast if they are measured to be at most BROADCAST bytes, else by a
    shuffle join), merged, and cut out.
 
@@ -37,7 +37,7 @@ from foldlake.llm.common import bytes_of, mix, small_batches, stored
 
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM  # grams of a window, less one
-SHARDS, CHUNK = 4, 1_500_000  # bytes of stretches merged at once, beyond which a chunk ends with its anchor
+CHUNK = 200_000  # bytes of stretches merged at once, beyond which a chunk ends with its anchor
 HOT = 20_000
 BUCKET_BYTES = 48 << 20  # bytes of text for each bucket of anchors
 BROADCAST = 32 << 20
@@ -178,22 +178,25 @@ def _met(anchors: DataFrame, buckets: int) -> DataFrame:
 
 
 def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols before the sorted suffixes, string of each, offset of each): suffixes with an end that is less than any byte."""
+    """(the two symbols before each sorted suffix, string of each, offset of each): suffixes with an end that is less than any byte.
+
+    What comes before the start of a string is its end, and before that its last byte.
+    """
     n = np.array([len(s) + 1 for s in strings])
     symbols = np.zeros(int(n.sum()), np.int64)
     begin = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(strings)), n)
     offset = np.arange(len(symbols)) - begin[owner]
-    inside = offset < n[owner] - 1
-    symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-    end = begin[owner] + n[owner] - 1  # an end is followed by nothing; what lies beyond counts as an end
+    size = n[owner]
+    symbols[offset < size - 1] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    end = begin[owner] + size - 1  # an end is followed by nothing; what lies beyond counts as an end
     at = np.arange(len(symbols))
-    key, padded = np.zeros(len(symbols), np.int64), symbols
+    key = np.zeros(len(symbols), np.int64)
     for k in range(6):
-        key = (key << 9) | padded[np.minimum(at + k, end)]
+        key = (key << 9) | symbols[np.minimum(at + k, end)]
     width, longest = 6, int(n.max())
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
@@ -201,24 +204,28 @@ def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
             break
         key = rank * (len(key) + 1) + rank[np.minimum(at + width, end)]
         width *= 2
-    before = np.where(offset[order] > 0, symbols[order - 1], 0)
-    return before, owner[order], offset[order]
+    before = [symbols[(begin[owner] + (offset - k) % size)[order]] for k in (1, 2)]
+    return np.stack(before), owner[order], offset[order]
+
 
+def merge_transforms(one: np.ndarray, other: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a suffix is the other shard's, its interval) in the order of the first `length` (even) symbols of all suffixes.
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each suffix, interval of each suffix) in the order of the first `rounds` symbols of all shards' suffixes."""
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    every = np.concatenate(transforms)
-    used = np.unique(np.append(every, 0))
-    code = np.searchsorted(used, every).astype(np.uint8 if len(used) <= 256 else np.uint16)
+    A round reads two symbols at once off both transforms.
+    """
+    source = np.repeat([False, True], [one.shape[1], other.shape[1]])
+    used = np.unique(np.concatenate([one[0], other[0], [0]]))
+    kind = np.uint16 if len(used) <= 256 else np.int32
+    codes = [(np.searchsorted(used, t[1]) * len(used) + np.searchsorted(used, t[0])).astype(kind) for t in (one, other)]
     interval, count = np.zeros(len(source), np.int32), 1
-    symbols = np.empty_like(code)
-    for _ in range(rounds):
-        symbols[np.argsort(source, kind="stable")] = code  # each shard's symbols are read off in its own order
-        order = np.argsort(symbols, kind="stable")
-        symbols_sorted, source, was = symbols[order], source[order], interval[order]
-        new = symbols_sorted[1:] != symbols_sorted[:-1]
-        new |= (was[1:] != was[:-1]) & (symbols_sorted[1:] != 0)  # all ends are alike
+    read = np.empty(len(source), kind)
+    for _ in range(length // 2):
+        read[~source], read[source] = codes  # each shard's symbols are read off in its own order
+        order = np.argsort(read, kind="stable")
+        symbols, source, was = read[order], source[order], interval[order]
+        new = symbols[1:] != symbols[:-1]
+        new[: max(0, int(np.searchsorted(symbols, len(used))) - 1)] = False  # ends are alike, whatever comes after them
+        new |= (was[1:] != was[:-1]) & (symbols[1:] >= len(used)) & (symbols[1:] % len(used) != 0)
         interval = np.concatenate([np.zeros(1, np.int32), np.cumsum(new, dtype=np.int32)])
         if (now := int(interval[-1]) + 1) == count:
             break  # a partition that a round doesn't refine is final
@@ -228,12 +235,14 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
 
 def repeated_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of each window of SPAN bytes that a string of a smaller id holds as well."""
-    shards = [list(range(k, len(strings), SHARDS)) for k in range(min(SHARDS, len(strings)))]
+    if len(strings) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shards = [np.arange(0, len(strings), 2), np.arange(1, len(strings), 2)]
     built = [shard_transform([strings[i] for i in own]) for own in shards]
-    source, interval = merge_transforms([b[0] for b in built], SPAN)
+    source, interval = merge_transforms(built[0][0], built[1][0], SPAN)
     at = np.argsort(source, kind="stable")
     string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    string[at] = np.concatenate([np.array(own)[b[1]] for own, b in zip(shards, built)])
+    string[at] = np.concatenate([own[b[1]] for own, b in zip(shards, built)])
     offset[at] = np.concatenate([b[2] for b in built])
     lengths = np.array([len(s) for s in strings])
     whole = np.flatnonzero(offset + SPAN <= lengths[string])
