@@ -13,8 +13,7 @@ A byte goes if a string of SPAN bytes covers it that also starts in a document w
    two at a time, h times, orders all suffixes by their first 2h symbols without comparing them again. The boundaries that appear in a
    round are common prefixes of less than 2h symbols (Egidi & Manzini's Gap), so that after SPAN / 2 rounds the intervals left are
    exactly the suffixes that share SPAN bytes. Each interval's smallest document decides for its members.
-4. The removed spans of a document are joined to its text (broadcast if they are measured to be at most BROADCAST bytes, else by a
-   shuffle join), merged, and cut out.
+4. The removed spans of a document are joined to its text by a shuffle join, merged, and cut out.
 
 Anchors with more than HOT different stretches (a passage with as many neighbours) don't go to one task: their windows are hashed (128
 bits) and the smallest document of each is a grouped minimum. Nothing is capped.
@@ -40,7 +39,6 @@ REACH = SPAN - GRAM  # grams of a window, less one
 CHUNK = 200_000  # bytes of stretches merged at once, beyond which a chunk ends with its anchor
 HOT = 20_000
 BUCKET_BYTES = 48 << 20  # bytes of text for each bucket of anchors
-BROADCAST = 32 << 20
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _M = [np.uint64(pow(_MULT, k, 1 << 64)) for k in range(32)]
@@ -272,15 +270,8 @@ SPANS = "id long, start int, end int"
 
 
 def _placed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """docs joined to rows of a stored table by id, which is broadcast if it is measured to be small."""
-    spark = docs.sparkSession
-    size = sum(_length(spark, f) for f in by_doc.inputFiles())
-    return docs.join(F.broadcast(by_doc) if size <= BROADCAST // 4 else by_doc, "id")  # Parquet here expands about fourfold
-
-
-def _length(spark, file: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(file)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    """docs joined to a table by id: always a shuffle of both, so that cost grows in proportion at every size."""
+    return docs.join(by_doc.hint("merge"), "id")
 
 
 def _pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
@@ -381,10 +372,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept) of every row: kept is the bytes left."""
     spans = repeated_spans(docs, key, text)
-    spark = docs.sparkSession
-    size = sum(_length(spark, f) for f in spans.inputFiles())
-    found = spans.withColumnRenamed("id", "of")
-    found = F.broadcast(found) if size <= BROADCAST // 4 else found
+    found = spans.withColumnRenamed("id", "of").hint("merge")
     base = docs.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data"))
     at = base.join(found, F.col("id") == F.col("of"), "left").select("id", "data", "spans")
 
