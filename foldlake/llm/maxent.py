@@ -41,7 +41,7 @@ SHORT, CLASSES = WIDTH * SHORT_CLASSES, SHORT_CLASSES + TAIL
 NONE = SHORT + TAIL  # the symbol before a text begins
 SYMBOLS, PAIRS, WITHIN = NONE + 1, 8192, 8192
 ROUNDS, RATE, BATCH = 2, 0.15, 4096
-EAGER, EAGER_BATCH = 96, 512  # the first steps of a task are small and update all tables
+EAGER, EAGER_BATCH = 96, 512  # the first steps of a task are small
 CLASS_FEATURES, WORD_FEATURES = ("last", "skip", "third", "pair"), ("word_last", "word_skip", "word")
 FLUSH = 600_000  # distinct words a task counts before it passes them on
 END = b""
@@ -164,18 +164,16 @@ class Model:
         short = np.flatnonzero(symbols[at] < SHORT)
         return self.class_part(symbols, at)[0], short, self.word_part(symbols, at[short])[0]
 
-    def step(self, symbols: np.ndarray, at: np.ndarray, seen: dict[str, np.ndarray], no: int) -> None:
-        """A gradient step on a minibatch. The first EAGER update all tables; after that a step takes the class features by turns, and
-        every second one the words, so that all tokens train the model at the cost of about one table each."""
+    def step(self, symbols: np.ndarray, at: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+        """A gradient step on a minibatch, which updates all tables."""
         _, z, total, cls, rows = self.class_part(symbols, at)
         z /= -total[:, None]
         z[np.arange(len(at)), cls] += 1
-        for k, (name, idx) in enumerate(zip(CLASS_FEATURES, rows)):
-            if no < EAGER or no % len(CLASS_FEATURES) == k:
-                self._add(name, idx, z, seen)
+        for name, idx in zip(CLASS_FEATURES, rows):
+            self._add(name, idx, z, seen)
         self._apply("class", np.zeros(1, np.int64), z.sum(axis=0, keepdims=True), seen)
         short = at[symbols[at] < SHORT]
-        if len(short) and (no < EAGER or no % 2):
+        if len(short):
             _, y, sums, p, rows = self.word_part(symbols, short)
             y /= -sums[:, None]
             y[np.arange(len(short)), p] += 1
@@ -252,7 +250,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
                 i = 0
                 while i < len(at):
                     size = EAGER_BATCH if no < EAGER else BATCH
-                    model.step(symbols, at[i : i + size], seen, no)
+                    model.step(symbols, at[i : i + size], seen)
                     i, no = i + size, no + 1
             if not n:
                 return

@@ -308,6 +308,23 @@ def test_training_learns_context(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
 
 
+def test_late_tokens_train_all_tables(spark):
+    early, late = ["a b c d e"] * 12_000, ["x y z w"]  # 72,000 tokens, then a text in the task's last step
+    texts = spark.createDataFrame([(t.encode(),) for t in early + late], "data binary").coalesce(1)
+    counts = Counter(w for t in early + late for w in [*t.encode().split(), b""])
+    vocab = maxent.Vocabulary(list(counts.items()), {}, sum(counts.values()), len(counts))
+    start, index = vocab.start(), vocab.index()
+    w = maxent._shaped(maxent.train(texts, vocab, 1))
+    x = index[b"x"]
+    assert all((w[k][x] != start[k][x]).any() for k in ("last", "skip", "third"))
+    import numpy as np
+
+    one, two, p = index[b"y"], x, index[b"z"]
+    pair = maxent.Model.history(np.array([maxent.NONE, two, one, p]), np.array([3]))[3][0]
+    assert w["pair"][pair].any()
+    assert w["word_last"][(one * maxent.SHORT_CLASSES * 0x9E3779B1 >> 11) % maxent.WITHIN].any()
+
+
 def test_scores_without_rows(spark):
     held_out = F.lit(False)
     assert maxent.score(docs(spark, []), held_out).count() == 0
