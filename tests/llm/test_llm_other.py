@@ -192,6 +192,19 @@ def test_many_cells_use_joins(spark, monkeypatch):
     assert {r.doc_id: r[-1].prob for r in mixing.mixed(df).collect()} == pytest.approx(few)
 
 
+def test_many_cells_take_all_rounds(spark, monkeypatch):
+    rows = [(f"s{i}", f"l{j}", "t", 1 + (7 * i + 3 * j) % 11) for i in range(12) for j in range(6) if j in (i % 6, (i + 1) % 6)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    plan = mixing.Plan(rounds=8, within=0.0)
+    shares = lambda: {(r.source, r.lang): r.share for r in mixing.rake(cells, plan).collect()}
+    with pytest.warns(UserWarning, match="after 8 rounds"):
+        few = shares()
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    with pytest.warns(UserWarning, match="after 8 rounds"):
+        many = shares()
+    assert many == pytest.approx(few, rel=1e-9)
+
+
 def test_mixing_odd_tables(spark):
     schema = "doc_id long, text string, source string, lang string"
     assert mixing.mixed(spark.createDataFrame([], schema)).count() == 0
