@@ -4,7 +4,7 @@ A byte goes if a string of SPAN bytes covers it that also starts in a document w
 
 1. Anchors. Each window of SPAN bytes has a least hash among the GRAM-byte grams in it (leftmost on ties). Consecutive windows with the
    same anchor form a stretch of at most 2 * SPAN - GRAM bytes. Equal windows have equal anchors, so whatever repeats meets at its
-   anchor. Anchors (4 bytes of hash, 4 of the stretch's hash, id, start, length) are dealt by hash as packed arrays.
+   anchor. Anchors (4 bytes of hash, 8 of the stretch's hash, id, start, length) are dealt by hash as packed arrays.
 2. Pre-aggregation. Of stretches that are equal as a whole, the one in the smallest document stays and the others are removed whole.
    An anchor that lies in one document alone is done. What is left are different stretches around one anchor.
 3. Merged transforms. Those stretches are cut from the texts and dealt by anchor. In each task they are split into two shards; a
@@ -98,7 +98,7 @@ def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 ANCHORS = "bucket int, anchor binary, own binary, id binary, start binary, length binary"
-KINDS = {"anchor": np.uint32, "own": np.uint32, "id": np.int64, "start": np.uint32, "length": np.uint8}
+KINDS = {"anchor": np.uint32, "own": np.uint64, "id": np.int64, "start": np.uint32, "length": np.uint8}
 
 
 def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             anchor, own, start, length = (np.concatenate(c) for c in zip(*parts))
             bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
             columns = {
-                "anchor": anchor & np.uint64(0xFFFFFFFF), "own": own & np.uint64(0xFFFFFFFF), "id": np.repeat(np.array(ids, np.int64), n),
+                "anchor": anchor & np.uint64(0xFFFFFFFF), "own": own, "id": np.repeat(np.array(ids, np.int64), n),
                 "start": start, "length": length,
             }
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -134,10 +134,12 @@ def _met(anchors: DataFrame, buckets: int) -> DataFrame:
     """Stretches to remove whole (not open), and those whose anchor has different stretches in several documents (open)."""
 
     def judge(bucket: int, a: dict[str, np.ndarray]):
-        key = a["anchor"].astype(np.uint64) << np.uint64(32) | a["own"]
+        key = a["anchor"].astype(np.uint64) << np.uint64(32) | a["own"] >> np.uint64(32)
         order = np.argsort(key, kind="stable")
-        key, ids = key[order], a["id"][order]
-        classes = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        if ((np.diff(key[order]) == 0) & (np.diff(a["own"][order]) != 0)).any():  # equal in the upper half of the hash only
+            order = np.lexsort((a["own"], key))
+        key, own, ids = key[order], a["own"][order], a["id"][order]
+        classes = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
         least, most = np.minimum.reduceat(ids, classes), np.maximum.reduceat(ids, classes)
         anchor = key[classes] >> np.uint64(32)
         groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))

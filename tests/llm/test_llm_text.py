@@ -175,6 +175,20 @@ def test_repeated_passages_with_odd_ids(spark):
     assert bwt.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_stretches_are_told_apart_by_64_bits(spark):
+    import numpy as np
+
+    data = bytes(random.Random(5).choices(b"abcdefgh ", k=300))
+    rows = bwt._anchors(spark.createDataFrame([(1, data)], "id long, data binary"), 1).collect()
+    carried = b"".join(bytes(r.own) for r in rows)
+    assert carried == bwt.stretches(data)[1].tobytes()
+    own = [9 | 1 << 40, 9 | 1 << 41, 9 | 5 << 32, 8 | 5 << 32, 8 | 5 << 32]  # 32 bits of either half are equal for some
+    a = {"anchor": [7] * 5, "own": own, "id": [1, 2, 3, 4, 5], "start": [0] * 5, "length": [60] * 5}
+    packed = {k: np.array(v, np.uint64).astype(bwt.KINDS[k]).tobytes() for k, v in a.items()}
+    met = bwt._met(spark.createDataFrame([(0, *(bytearray(packed[k]) for k in bwt.KINDS))], bwt.ANCHORS), 1).collect()
+    assert sorted((r.id, r.open) for r in met) == [(1, True), (2, True), (3, True), (4, True), (5, False)]
+
+
 @pytest.mark.parametrize("letters", [b"ab", bytes(range(256))])
 def test_merged_transforms_order_suffixes(letters):
     rnd = random.Random(1)
