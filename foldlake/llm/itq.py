@@ -3,8 +3,9 @@
 1. A rotation is learned that makes the signs of the rotated principal components balanced and close to the components (iterative
    quantisation, Gong & Lazebnik 2011), on a bounded sample of SAMPLE vectors. A code longer than the vectors takes further
    rotations from other starting points.
-2. The code is cut into substrings of about log2(n) - 3 bits; each is a table, and vectors that agree in a substring meet in a bucket
-   of it. The number of tables is what a pair at the threshold needs to meet with probability RECALL.
+2. The code is cut into substrings of at most about log2(n) - 3 bits; each is a table, and vectors that agree in a substring meet in a
+   bucket of it. The number of tables is what pairs at the threshold, made from the sample and coded like it, need to meet with
+   probability RECALL: subtracting a mean widens their angle.
 3. In a bucket, pairs whose first code words are near in Hamming distance are compared by cosine, on the original vectors in double
    precision. A pair that meets in several tables counts in the first only.
 
@@ -19,6 +20,7 @@ nothing. Rows with a null id count as links of others but never name a component
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,9 @@ from foldlake.llm.components import components
 SAMPLE, STEPS, WORD = 8192, 30, 64
 THRESHOLD, RECALL = 0.9, 0.985
 BLOCK, CHUNK = 512, 20_000
+PAIRS = 4096  # least number of pairs that the tables are measured on
+ROW_PAIRS = 64  # pairs compared at the cost of a row in a table
+MOST_TABLES = 2048
 SPREAD = 5.0  # standard deviations of the Hamming distance that the filter leaves room for
 
 
@@ -56,26 +61,57 @@ class Quantiser:
         return word, (parts.astype(np.int64) << np.arange(self.bits)).sum(axis=2)
 
 
+def _pairs_at(unit: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold: unit vectors moved in any direction, and towards others of the sample."""
+    rnd = np.random.default_rng(0)
+    one, out = np.resize(unit, (max(PAIRS, len(unit)), unit.shape[1])), []
+    for other in (rnd.normal(size=one.shape), one[rnd.permutation(len(one))] + 1e-3 * rnd.normal(size=one.shape)):
+        other = other - (other * one).sum(axis=1, keepdims=True) * one
+        norm = np.linalg.norm(other, axis=1, keepdims=True)
+        out.append((one, threshold * one + math.sqrt(1 - threshold**2) * other / np.where(norm > 0, norm, 1)))
+    return out
+
+
 def learn(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Quantiser:
-    """Rotations for n vectors, from a sample of them."""
+    """Rotations for n vectors, from a sample of them. What pairs at the threshold need is measured behind the mean and the rotations."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     values, axes = np.linalg.eigh(np.cov((unit - mean).T) if len(unit) > 1 else np.eye(unit.shape[1]))
     width = min(WORD, unit.shape[1])
     axes = axes[:, np.argsort(-values)[:width]]
     v = (unit - mean) @ axes
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = int(np.clip(round(math.log2(max(n, 2))) - 3, 4, 24))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
-    rotations = []
-    for k in range(math.ceil(bits * tables / width)):
-        r, _ = np.linalg.qr(np.random.default_rng(k).normal(size=(width, width)))
+    halves = len(unit) >= 1024  # rotations fit the vectors they are learned from better than others: measure on others
+    pairs = [((a - mean) @ axes, (b - mean) @ axes) for a, b in _pairs_at(unit[1::2] if halves else unit, threshold)]
+    v = v[::2] if halves else v
+    rotations, agreed = [], []
+
+    def rotate() -> None:
+        r, _ = np.linalg.qr(np.random.default_rng(len(rotations)).normal(size=(width, width)))
         for _ in range(STEPS):
             b = np.where(v @ r > 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(b.T @ v)
             r = right.T @ left.T
         rotations.append(axes @ r)
-    most = math.ceil(width * (1 - agree) + SPREAD * math.sqrt(width * agree * (1 - agree)))
+        agreed.append(np.stack([(a @ r > 0) == (b @ r > 0) for a, b in pairs]))
+
+    rotate()
+    agree = min(agreed[0].mean(axis=(1, 2)).min(), 1 - 1e-6)
+    full = int(np.clip(round(math.log2(max(n, 2))) - 3, 4, 24))
+    # shorter substrings need fewer tables, but their buckets hold more pairs to compare
+    bits = min(range(4, full + 1), key=lambda k: math.log(1 - recall) / math.log(1 - agree**k) * (1 + n / 2**k / ROW_PAIRS))
+    met, tables = np.zeros(agreed[0].shape[:2], bool), 0
+    left = agreed[0]
+    while met.mean(axis=1).min() < recall:
+        if tables == MOST_TABLES:
+            warnings.warn(f"{tables} tables find {met.mean(axis=1).min():.3f} of pairs at the threshold (wanted {recall})", stacklevel=2)
+            break
+        while left.shape[2] < bits:
+            rotate()
+            left = np.concatenate([left, agreed[-1]], axis=2)
+        met |= left[:, :, :bits].all(axis=2)
+        left, tables = left[:, :, bits:], tables + 1
+    apart = width - agreed[0].sum(axis=2)
+    most = min(width, math.ceil((apart.mean(axis=1) + SPREAD * apart.std(axis=1)).max()))
     return Quantiser(mean, np.concatenate(rotations, axis=1), bits, tables, most)
 
 

@@ -104,6 +104,20 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.95
 
 
+@pytest.mark.parametrize("common", [0.5, 0.7])
+def test_recall_with_a_common_direction(common):
+    rnd = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(np.sqrt(common) * unit(rnd.normal(size=(1, 64))) + np.sqrt(1 - common) * unit(rnd.normal(size=(6000, 64))))
+    other = rnd.normal(size=a.shape)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * unit(other)
+    q = itq.learn(a[:4000], 100_000)
+    (w1, p1), (w2, p2) = q.codes(a[4000:]), q.codes(b[4000:])
+    met = (p1 == p2).any(axis=1) & (np.bitwise_count(w1 ^ w2) <= q.most)
+    assert met.mean() > 0.95
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert itq.near_duplicates(none).count() == 0
