@@ -110,9 +110,11 @@ class Mixture:
         while len(own) < len(self.langs):
             gain = n * ((c / (p[:, own] @ pi)) @ p / n - 1)
             gain[own] = -np.inf
-            order = [int(j) for j in np.argsort(-gain, kind="stable") if gain[j] > price][:4]
+            order = [int(j) for j in np.argsort(-gain, kind="stable") if gain[j] > price]
             found = None
-            for j in order:
+            for j in order:  # the gradient bounds the gain: once the best found reaches a bound, no later one can be better
+                if found is not None and found[1] - best >= gain[j]:
+                    break
                 start = np.append(pi * 0.9, 0.1)
                 now, value = self.em(p[:, [*own, j]], c, start, n)
                 if value - best > price and (found is None or value > found[1]):

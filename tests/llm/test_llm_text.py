@@ -273,6 +273,22 @@ def test_mixtures(spark):
     assert langid.predict(train, langid.learn(train.where("false"))).where("predicted.lang <> 'und'").count() == 0
 
 
+def test_every_candidate_language_is_tried():
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    counts = np.full((7, 12), 5.0)
+    counts[0, :5] = 2000
+    counts[1:6] = r.integers(1, 200, (5, 12))
+    for k in range(1, 6):  # each has a slot of its own: large gradients, small gains
+        counts[k, 5 + k] = r.integers(3000, 200_000)
+    counts[6, 11], counts[6, :5] = r.integers(500, 3000), r.integers(500, 3000, 5)
+    c = np.zeros(12)
+    c[:5], c[6:11], c[11] = r.integers(100, 400, 5), r.integers(1, 12, 5), r.integers(5, 200)
+    found = langid.Mixture(list("abcdefg"), counts).infer(np.arange(12), c)
+    assert {x for x, _ in found} == {"a", "d", "g"}
+
+
 # language model
 
 
