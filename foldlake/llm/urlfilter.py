@@ -9,8 +9,7 @@ passes, before the first that it fails, is odd. No join decides membership.
 Sizes. A level has BITS bits a key. The first holds the list; the second the unlisted keys of the universe that pass the first, which
 the first level's rate keeps near the length of the list (its bits follow log2 of universe over list). So the cascade is bounded by
 the list: at most (BITS + log2(universe / list) / ln 2) * 2 bits for each listed key and MIN_BITS a level. It is sent along with the
-query as array literals; `cascade` refuses a list whose filters would pass MAX_BITS, and partitioned() then splits keys by hash into
-parts with a cascade of their own, which a join by part brings to the keys.
+query as array literals; `cascade` refuses a list with a filter of more than MAX_BITS bits; such lists aren't supported.
 
 The main path is DataFrame functions only.
 
