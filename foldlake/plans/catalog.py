@@ -91,18 +91,18 @@ FILES_SQL = f"""{RUNS_SQL}, files AS (SELECT CASE WHEN run < 2 THEN 0 ELSE 1 END
 
 
 def key_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Files with narrow ranges of keys: orders by customer, a file for each hundred customers and level."""
+    """Files with narrow ranges of keys: orders by customer, a file for each hundred customers. Some of one year are level 0."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    level = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1)
+    level = F.when((F.year("o_orderdate") == 1995) & (F.expr("o_custkey div 100") % 4 == 1), 0).otherwise(1)
     at = o.select(level.alias("level"), F.expr("o_custkey div 100").alias("slot"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("k"))
-    files = at.where("not (level = 0 and slot % 4 <> 1)").groupBy("level", "slot").agg(
+    files = at.groupBy("level", "slot").agg(
         F.count(F.lit(1)).alias("n"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
     return files.select("level", (F.col("slot") * 2 + F.col("level")).alias("file_id"), (F.col("n") * 100).alias("file_size"), "min_key", "max_key")
 
 
 RANGES_SQL = """files AS (SELECT level, slot * 2 + level AS file_id, count(*) * 100 AS file_size, min(k) AS min_key, max(k) AS max_key FROM
-  (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS level, o_custkey // 100 AS slot, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS k FROM orders)
-  WHERE NOT (level = 0 AND slot % 4 <> 1) GROUP BY level, slot)"""
+  (SELECT CASE WHEN year(o_orderdate) = 1995 AND (o_custkey // 100) % 4 = 1 THEN 0 ELSE 1 END AS level, o_custkey // 100 AS slot,
+    lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS k FROM orders) GROUP BY level, slot)"""
 
 
 @query(f"WITH {RANKED_SQL} SELECT {COLUMNS} FROM ranked WHERE rn = 1 AND NOT tomb")
@@ -120,12 +120,14 @@ def latest_deleted(spark, d):
     f" SELECT {COLUMNS} FROM ranked WHERE rn = 1 AND NOT tomb"
 )
 def as_of_snapshot(spark, d):
-    return latest(log(spark, d), 5000)
+    # the bound is set on the stored column, so that it reaches the scan
+    return latest(as_log(fold.as_of(events(spark, d), 4999, "event_id")))
 
 
 @query(f"WITH {RANKED_SQL} SELECT {COLUMNS} FROM ranked WHERE k = '11' AND rn = 1 AND NOT tomb")
 def point_get(spark, d):
-    return fold.get(log(spark, d), F.lit("11"), None, "k", "lsn", "tomb")
+    # the key is looked for in the stored column, so that the predicate reaches the scan
+    return fold.get(as_log(events(spark, d).where("user_id = 11")), F.lit("11"), None, "k", "lsn", "tomb")
 
 
 @query(
@@ -145,8 +147,8 @@ def version_history(spark, d):
 @query(f"WITH {RUNS_SQL} SELECT k, lsn, run, row_number() OVER (ORDER BY k, lsn DESC) AS place FROM runs")
 def merge_runs(spark, d):
     df = runs(spark, d).select("k", "lsn", "run")
-    merged = merge.union_runs([df.where(F.col("run") == i) for i in range(4)])
-    at = merge.prefix_sums(merged.withColumns({"one": F.lit(1), "down": -F.col("lsn")}), "one", ["k", "down"])
+    merged = merge.union_runs([df.where(F.col("run") == i) for i in range(4)])  # as many scans as there are runs
+    at = merge.places(merged.withColumn("down", -F.col("lsn")), ["k", "down"])
     return at.select("k", "lsn", "run", (F.col("before") + 1).alias("place"))
 
 

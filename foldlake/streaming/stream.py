@@ -27,11 +27,12 @@ def run_fold(log: DataFrame, out: str, checkpoint: str, key: str = "key", versio
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_stream(log: DataFrame, store, checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
-    """Append a stream's rows to a store, one commit a micro-batch."""
+def append_stream(log: DataFrame, store, checkpoint: str, order: list[str] | None = None, name: str = "stream") -> StreamingQuery:
+    """Append a stream's rows to a store, one commit a micro-batch. The manifest remembers the last batch under the stream's name, so
+    that a batch that is run again after its commit (a restart between commit and checkpoint) is left out."""
 
     def write(rows: DataFrame, batch: int) -> None:
         if not rows.isEmpty():
-            store.put(rows, order)
+            store.put(rows, order, stream=name, batch=batch)
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,18 +25,18 @@ def state(df):
 
 
 def test_overwrite_changes_type(spark):
-    df = log(spark, [row("key1", 100, b"v1"), row("key1", 200, b"v2"), row("key1", 300, "v3")])
-    assert state(fold.latest(df, 100)) == {"key1": b"v1"}
-    assert state(fold.latest(df, 200)) == {"key1": b"v2"}
-    assert state(fold.latest(df)) == {"key1": "v3"}
+    df = log(spark, [row("plum", 4, b"\x00"), row("plum", 9, 17), row("plum", 11, "ripe")])
+    assert state(fold.latest(df, 4)) == {"plum": b"\x00"}
+    assert state(fold.latest(df, 10)) == {"plum": 17}
+    assert state(fold.latest(df)) == {"plum": "ripe"}
 
 
 def test_tombstone_hides_only_later_readers(spark):
-    df = log(spark, [row("keyX", 100, b"exist"), row("keyX", 101)])
-    assert state(fold.latest(df, 100)) == {"keyX": b"exist"}
+    df = log(spark, [row("pear", 6, "here"), row("pear", 8)])
+    assert state(fold.latest(df, 7)) == {"pear": "here"}
     assert state(fold.latest(df)) == {}
-    assert state(fold.get(df, F.lit(b"keyX"))) == {}
-    assert [bytes(r.key) for r in fold.deleted(df).collect()] == [b"keyX"]
+    assert state(fold.get(df, F.lit(b"pear"))) == {}
+    assert [bytes(r.key) for r in fold.deleted(df).collect()] == [b"pear"]
 
 
 def test_missing_and_empty_keys_differ(spark):
@@ -46,10 +46,10 @@ def test_missing_and_empty_keys_differ(spark):
 
 
 def test_merge_order(spark):
-    runs = [log(spark, [row(f"key_{k:05d}", lsn, f"val_{k}") for k, lsn in own]) for own in
-            ([(1, 10), (3, 10), (5, 10)], [(2, 10), (4, 10), (6, 10)], [(3, 20), (4, 5)])]
-    got = [(int(bytes(r.key)[-5:]), r.lsn) for r in merge.merge_runs(runs).collect()]
-    assert got == [(1, 10), (2, 10), (3, 20), (3, 10), (4, 10), (4, 5), (5, 10), (6, 10)]
+    """Keys ascend, and versions of a key descend, whichever runs they come from."""
+    runs = [log(spark, [row(k, lsn, lsn) for k, lsn in own]) for own in ([("d", 7), ("b", 3)], [("b", 8), ("a", 2), ("d", 1)], [("c", 5)])]
+    got = [(bytes(r.key).decode(), r.lsn) for r in merge.merge_runs(runs).collect()]
+    assert got == [("a", 2), ("b", 8), ("b", 3), ("c", 5), ("d", 7), ("d", 1)]
 
 
 def test_delete_in_newer_run_hides_older_run(spark):
@@ -69,8 +69,25 @@ def test_files_never_split_a_key(spark):
     cut = merge.split_files(df, 1000)
     assert cut.count() == 200
     assert cut.groupBy("key").agg(F.count_distinct("file_no").alias("n")).where("n > 1").count() == 0
-    blocks = merge.greedy_blocks(cut, 300)
-    assert blocks.groupBy("file_no", "block_no").count().where("count > 3").count() == 0
+    blocks = merge.greedy_cuts(cut, 300, [F.col("key"), F.desc("lsn")], "file_no")
+    assert blocks.groupBy("file_no", "cut_no").count().where("count > 3").count() == 0
+    one = merge.greedy_cuts(df.withColumn("part", F.lit(0)), 5000, [F.col("key"), F.desc("lsn")], "part", whole="key")
+    assert {r["cut_no"]: r["n"] for r in one.groupBy("cut_no").agg(F.count("*").alias("n")).collect()} == {0: 58, 1: 58, 2: 56, 3: 28}
+
+
+def test_sums_are_right_beyond_the_sample(spark):
+    """More rows than range boundaries are drawn from, and a wide column that only some plans need."""
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("x"), (F.col("id") % 7).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    own = rows.withColumn("slice", F.lit(1))
+    at = merge.prefix_sums(own, "n", ["x"], slices=16)
+    assert at.columns == [*own.columns, "before"]
+    want = {x: n for x, n in at.select("x", "n").collect()}
+    got, total = {r.x: r.before for r in at.select("x", "before").collect()}, 0
+    for x in sorted(want):
+        assert got[x] == total
+        total += want[x]
+    lsn = merge.assign_lsn(rows, 5, ["x"]).select("x", "lsn", "wide")
+    assert lsn.where("lsn <> x + 6 or wide is null").count() == 0 and lsn.count() == 400_000
 
 
 def test_lsn_is_contiguous(spark):

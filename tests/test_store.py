@@ -101,7 +101,7 @@ def test_store_lifecycle(spark, tmp_path):
     store = Store.create(spark, folder)
     assert store.put(ints(spark, [(f"k{i:03d}", i) for i in range(50)])) == 50
     store.flush(target=600)
-    assert len(store.manifest().files) > 1
+    assert store.files().count() > 1
     store.delete(spark.createDataFrame([(b"k003",)], "key binary"))
     top = store.put(ints(spark, [("k004", 400)]))
     want = {f"k{i:03d}": i for i in range(50) if i != 3} | {"k004": 400}
@@ -111,15 +111,19 @@ def test_store_lifecycle(spark, tmp_path):
     before = store.manifest().version
     store.compact(0, target=600)
     m = store.manifest()
-    assert {f["level"] for f in m.files} == {1} and not m.segments and len({f["file_id"] for f in m.files}) == len(m.files)
+    files = store.files().collect()
+    assert {f.level for f in files} == {1} and not m.segments and len({f.file_id for f in files}) == len(files)
     assert keys_of(Store.open(spark, folder).read()) == want
     assert keys_of(store.read(version=before)) == want
     assert store.log().where("tombstone").count() == 0  # nothing lies below
     assert store.gc_candidates().where("kind = 'segments'").count() >= 2
     assert m.next_lsn == top + 1
+    small = Store.open(spark, folder, memtable_bytes=1)  # every segment fills a table
     for i in range(6):
-        store.put(ints(spark, [("n", i)]))
-    store.maintain(base=1)
+        small.put(ints(spark, [("n", i)]))
+    assert small.manifest().epoch == 6
+    small.maintain(base=1)
+    assert not small.manifest().segments
     assert keys_of(store.read()) == want | {"n": 5}
 
 
@@ -163,3 +167,28 @@ def test_stream_into_store(spark, tmp_path):
     rows = spark.readStream.schema(spark.read.parquet(str(src)).schema).parquet(str(src))
     stream.append_stream(rows, store, str(tmp_path / "cp")).awaitTermination()
     assert keys_of(store.read()) == {"a": 1, "b": 2}
+
+
+def test_a_batch_is_applied_once(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"))
+    assert store.put(ints(spark, [("a", 1)]), stream="q", batch=0) == 1
+    assert store.put(ints(spark, [("a", 2)])) == 2
+    assert store.put(ints(spark, [("a", 1)]), stream="q", batch=0) == 2  # run again after its commit
+    assert store.put(ints(spark, [("b", 3)]), stream="q", batch=1) == 3
+    assert keys_of(store.read()) == {"a": 2, "b": 3} and store.log().count() == 3
+
+
+def test_versions_follow_arrival_and_are_distinct(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"))
+    assert store.put(ints(spark, [("a", 1), ("b", 2), ("a", 3)]).coalesce(1)) == 3
+    assert keys_of(store.read()) == {"a": 3, "b": 2}
+    rows = spark.range(300_000).select(F.encode(F.concat(F.lit("key"), F.col("id") * 7919 % 300_000), "UTF-8").alias("key"), *model.str_(F.repeat(F.lit("x"), 60)))
+    assert store.put(rows, ["key"]) == 300_003
+    top = store.log().agg(F.count_distinct("lsn").alias("n"), F.max("lsn").alias("top"), F.count("*").alias("all")).first()
+    assert tuple(top) == (300_003, 300_003, 300_003) and store.manifest().next_lsn == 300_004
+
+
+def test_manifests_are_created_once(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"))
+    assert store._write_manifest(Manifest(version=1)) and not store._write_manifest(Manifest(version=1, next_id=9))
+    assert store.manifest(1).next_id == 1 and not [n for n in store._names("manifests") if n.endswith(".tmp")]
