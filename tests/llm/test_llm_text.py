@@ -315,19 +315,110 @@ def test_rare_words_count_exactly(spark, monkeypatch):
     test_scores(spark)
 
 
-def test_model_is_a_distribution():
+def small_tree():
     import numpy as np
 
     rnd = np.random.default_rng(0)
-    model = maxent.Model({k: rnd.normal(size=s).astype(np.float32) for k, s in maxent.TABLES.items()})
-    before = rnd.integers(0, maxent.NONE, 3)
-    total, per_class = 0.0, 0.0
-    symbols = np.concatenate([np.concatenate([before, [s]]) for s in range(maxent.NONE)])
-    at = np.arange(maxent.NONE) * 4 + 3
-    log_class, short, log_word = model.probabilities(symbols, at)
-    p = np.exp(log_class)
-    p[short] *= np.exp(log_word)
-    assert abs(p.sum() - 1) < 1e-3
+    return maxent.Tree(np.concatenate([np.sort(rnd.zipf(1.3, 900).clip(max=10**6))[::-1], np.arange(maxent.TAIL) + 1]).astype(float))
+
+
+def test_model_is_a_distribution():
+    import numpy as np
+
+    rnd, tree = np.random.default_rng(0), small_tree()
+    w = maxent.Model.start(tree)
+    model = maxent.Model(tree, w + rnd.normal(size=w.shape).astype(np.float32))
+    before = rnd.integers(0, tree.n_leaves, 3)
+    symbols = np.concatenate([np.concatenate([before, [s]]) for s in range(tree.n_leaves)])
+    log_p = model.log_probabilities(symbols, np.arange(tree.n_leaves) * 4 + 3)
+    assert tree.depth > 2 and abs(np.exp(log_p).sum() - 1) < 1e-3
+    assert tree.length[0] < tree.length[899]  # frequent words take fewer decisions
+    steep = maxent.Model(tree, w * 0 + np.float32(200))  # exponentials without a finite value
+    assert np.isfinite(steep.log_probabilities(symbols, np.arange(tree.n_leaves) * 4 + 3)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, maxent.WIDTH, maxent.WIDTH + 1, 200])
+def test_trees_of_any_size(n):
+    import numpy as np
+
+    tree = maxent.Tree(np.arange(1.0, n + 1))
+    ways = {tuple((tree.nodes[d, k], tree.digits[d, k]) for d in range(tree.length[k])) for k in range(n)}
+    assert len(ways) == n and tree.n_nodes == -(-(n - 1) // (maxent.WIDTH - 1)) + (n == 1)
+    assert abs(np.exp(maxent.Model(tree, maxent.Model.start(tree)).log_probabilities(np.repeat(np.arange(n), 4), np.arange(n) * 4 + 3)).sum() - 1) < 1e-3
+
+
+def brute_model(tree, stretches, steps):
+    """The weights after the given steps, by loops over tokens in double precision."""
+    import numpy as np
+
+    w = {r: row.astype(float) for r, row in enumerate(maxent.Model.start(tree))}
+    seen = Counter()
+
+    def decisions(s, i):
+        for d in range(tree.length[s[i]]):
+            node = int(tree.nodes[d, s[i]])
+            history = {"last": s[i - 1], "skip": s[i - 2], "third": s[i - 3], "pair": s[i - 1] * (tree.n_leaves + 1) + s[i - 2]}
+            kinds = maxent.FEATURES[min(d, 2)]
+            rows = [int(maxent.Model.hashed(k, np.array([history[k]]), np.array([node]), d)[0]) for k in kinds]
+            yield d, int(tree.digits[d, s[i]]), [node + int(maxent.OFFSETS[-1]), *rows]
+
+    def chances(rows):
+        z = sum(w[r] for r in rows)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for s, places in [(s, places[i : i + steps]) for s, places in stretches for i in range(0, len(places), steps)]:
+        for depth in range(tree.depth):
+            sums = {}
+            for i in places:
+                for d, digit, rows in decisions(s, i):
+                    if d == depth:
+                        g = -chances(rows)
+                        g[digit] += 1
+                        for r in rows:
+                            sums[r] = sums.get(r, 0) + g
+            for r, g in sums.items():
+                seen[r] += (g * g).mean()
+                w[r] = w[r] + maxent.RATE / np.sqrt(seen[r] + 1e-3) * g
+    return lambda s, i: sum(np.log(chances(rows)[digit]) for _, digit, rows in decisions(s, i))
+
+
+def test_training_and_scores_equal_brute_force(spark):
+    """The whole query on one task: counts, tree, steps in the order of the rows, scores; changes are kept in 16 bits."""
+    import numpy as np
+
+    texts = ["a b c a b d", None, "b c a", "x y b c a b", "A\tb  c a b", "q r s t u v w x y z a b c", "a b c a b d e"] * 3
+    held = [k % 7 == 4 for k in range(len(texts))]
+    df = docs(spark, texts).coalesce(1)
+    got = {r.id: r.score for r in maxent.score(df, F.col("doc_id") % 7 == 4, rounds=1).collect()}
+    tokens = [[*(t or "").lower().encode().split(), b""] for t in texts]
+    c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    order = sorted(c, key=lambda w: (w != b"", -c[w], w))
+    tree = maxent.Tree(np.array([c[w] for w in order] + [1] * maxent.TAIL, float))
+    leaf = lambda w: order.index(w) if w in c else len(order) + maxent.tail_class(w)
+    padded = [[tree.n_leaves] * 3 + [leaf(w) for w in t] for t in tokens]
+    flat, places = [], []
+    for t, h in zip(padded, held):
+        if not h:
+            places += range(len(flat) + 3, len(flat) + len(t))
+            flat += t
+    log_p = brute_model(tree, [(flat, places)], maxent.EAGER_BATCH)
+    for k, t in enumerate(padded):
+        want = sum(log_p(t, i) for i in range(3, len(t))) / np.log(10)  # words out of the vocabulary have all of their class
+        assert abs(got[k] - want) < 5e-3 * abs(want), (k, got[k], want)
+
+
+def test_rare_rows_keep_their_changes(spark):
+    """A row that one of many tasks meets is not averaged with the tasks that don't."""
+    import numpy as np
+
+    tree = small_tree()
+    common, rare = np.array([1, 2, 3] * 40, np.int32), np.array([500, 501, 502] * 40, np.int32)
+    rows = [(common.tobytes(), 0)] * 7 + [(rare.tobytes(), 0)]
+    one = spark.createDataFrame(rows[-1:], "leaves binary, part int").coalesce(1)
+    alone, mixed = maxent.train(one, tree, 1), maxent.train(spark.createDataFrame(rows, "leaves binary, part int").repartition(8), tree, 1)
+    row = maxent.Model.hashed("pair", np.array([501 * (tree.n_leaves + 1) + 500]), np.array([tree.nodes[0, 502]]), 0)[0]
+    assert np.abs(alone[row]).max() > 0.05 and np.abs(mixed[row] - alone[row]).max() < 0.3 * np.abs(alone[row]).max()
 
 
 def test_training_learns_context(spark):
@@ -338,21 +429,28 @@ def test_training_learns_context(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
 
 
-def test_late_tokens_train_all_tables(spark):
-    early, late = ["a b c d e"] * 12_000, ["x y z w"]  # 72,000 tokens, then a text in the task's last step
-    texts = spark.createDataFrame([(t.encode(),) for t in early + late], "data binary").coalesce(1)
-    counts = Counter(w for t in early + late for w in [*t.encode().split(), b""])
-    vocab = maxent.Vocabulary(list(counts.items()), {}, sum(counts.values()), len(counts))
-    start, index = vocab.start(), vocab.index()
-    w = maxent._shaped(maxent.train(texts, vocab, 1))
-    x = index[b"x"]
-    assert all((w[k][x] != start[k][x]).any() for k in ("last", "skip", "third"))
+def test_late_tokens_train_all_features(spark):
+    """Tokens after a task's first steps move the rows of all their features."""
     import numpy as np
 
-    one, two, p = index[b"y"], x, index[b"z"]
-    pair = maxent.Model.history(np.array([maxent.NONE, two, one, p]), np.array([3]))[3][0]
-    assert w["pair"][pair].any()
-    assert w["word_last"][(one * maxent.SHORT_CLASSES * 0x9E3779B1 >> 11) % maxent.WITHIN].any()
+    tree = small_tree()
+    early, late = np.array([1, 2, 3, 4, 5, 0] * 12_000, np.int32), np.array([700, 701, 702, 703], np.int32)
+    w = maxent.train(spark.createDataFrame([(early.tobytes(), 0), (late.tobytes(), 0)], "leaves binary, part int").coalesce(1), tree, 1)
+    model = maxent.Model(tree, w)
+    symbols = np.concatenate([[tree.n_leaves] * 3, late]).astype(np.int64)
+    for depth in range(tree.length[703]):
+        at = np.array([6])
+        for row in model.rows(symbols, at, tree.nodes[depth][symbols[at]], depth):
+            assert (w[row[0]] != maxent.Model.start(tree)[row[0]]).any()
+
+
+def test_scores_of_odd_tables(spark):
+    rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit("clash") for k in ("id", "row", "part", "leaves", "word", "n", "held_out")})
+    got = maxent.score(df, F.coalesce(F.col("doc_id") == 2, F.lit(False))).collect()
+    assert sorted((str(r.id), r.n_tokens, r.held_out, r.train_tokens) for r in got) == [
+        ("1", 4, False, 13), ("1", 4, False, 13), ("2", 1, True, 13), ("None", 1, False, 13), ("None", 4, False, 13)]
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1
 
 
 def test_scores_without_rows(spark):
