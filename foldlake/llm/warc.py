@@ -12,11 +12,13 @@ the directory has at most DIRECTORY_ENTRIES blocks and one short block a partiti
 rest), so the directory has a proven bound of about 20 MB and can be broadcast or held by a client.
 
 Reading. A lookup binary-searches the directory, opens one block, binary-searches its lines, and reads the record's range of bytes.
-`lookup` does so for a few urls from the driver with seeks; `locate` does it for a table of captures, a join by block number bringing
-queries to blocks. `read_archives` decodes whole shards where they land, and verifies every payload's digest.
+`lookup` and `read_range` do so for a few urls from the driver with seeks; `locate` and `read_ranges` do it for a table of captures: a
+join by block number brings queries to blocks, and one by shard brings the ranges found to the files, where each is decoded by itself.
+Payload digests are verified; a record that is damaged, cut off or not where the index says fails the job, as does a missing shard.
 
 Defined results: null html is an empty payload; a null url has the key '' ; rows with a null id are written, never refer to others
-nor are referred to, and come back with a null id; repeated ids are separate records; an empty table gives empty archives.
+nor are referred to, and come back with a null id; repeated ids are separate records; an empty table gives empty archives. Columns
+other than the three that are named aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from foldlake.llm.common import bytes_of, shared_path, small_batches, stored
 
@@ -112,28 +113,22 @@ def _member(records: pd.Series) -> pd.Series:
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, date: str = "2024-01-01T00:00:00Z", **names) -> DataFrame:
     """Write folder/shard=N/part-*, one file of WARC records a shard; returns the index's entries (a stored table).
 
-    The records are shuffled once, for the files. The entries are computed by a second, narrow job: which shard a record is dealt to
-    and its place there depend on its content alone, so both jobs agree, and so do tasks that are run again.
+    The records are compressed and shuffled once. The entries are taken from the files as they were written.
     """
     spark = pages.sparkSession
     small_batches(spark)
     decided = with_decisions(pages, **names)
     payload = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
     record = _member(F.concat(_header(date).cast("binary"), payload, F.lit(END)))
-    records = decided.select("page_id", reversed_key("url").alias("key"), "digest", record.alias("record"))
+    records = decided.select("page_id", "digest", record.alias("record"))
     total = pages.agg(F.sum(F.octet_length(F.col(names.get("html", "html"))))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    dealt = records.select(
-        "*", F.octet_length("record").cast("bigint").alias("length"), F.xxhash64("record").alias("mark"),
-        F.pmod(F.xxhash64("page_id", "key", "digest"), F.lit(shards)).cast("int").alias("shard"),
-    )
-    order = ["page_id", "key", "digest", "mark"]  # records that agree in all of these are equal
-    files = dealt.select("shard", *order, F.col("record").cast("string").alias("record")).repartition(shards, "shard")
-    files = files.sortWithinPartitions("shard", *order).select("shard", "record")
+    shard = F.pmod(F.xxhash64("page_id", "digest", F.xxhash64("record")), F.lit(shards)).cast("int")
+    files = records.select(shard.alias("shard"), "page_id", "digest", F.col("record").cast("string").alias("record")).repartition(shards, "shard")
+    files = files.sortWithinPartitions("shard", "page_id", "digest").select("shard", "record")
     files.write.partitionBy("shard").option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(folder)
-    w = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("length") + len(SEPARATOR)).over(w), F.lit(0)).cast("bigint")
-    return stored(dealt.drop("record").select("key", "page_id", "shard", before.alias("offset"), "length", "digest"), "warc-entries")
+    found = read_archives(spark, folder).select(reversed_key("url").alias("key"), "page_id", "shard", "offset", "length", F.col("payload_digest").alias("digest"))
+    return stored(found, "warc-entries")
 
 
 def member(data: bytes, offset: int) -> tuple[bytes, int]:
@@ -172,22 +167,60 @@ def described(headers: dict, payload: bytes) -> dict:
     }
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """RECORD rows of all archives under folder."""
-    small_batches(spark)  # a row holds a whole shard; spark.sql.files.maxPartitionBytes bounds how many meet in a batch
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, content) of all files under folder; a row holds a whole shard."""
+    small_batches(spark)  # spark.sql.files.maxPartitionBytes bounds how many meet in a batch
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    return files.select(F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"), "content")
+
+
+def _record(shard: int, offset: int, data: bytes, at: int) -> tuple[dict, int]:
+    """RECORD and end of the member at a place of data, which is verified."""
+    try:
+        content, end = member(data, at)
+        out = described(*parse(content))
+    except (ValueError, KeyError, zlib.error) as e:
+        raise ValueError(f"shard {shard}: the record at {offset} is damaged") from e
+    if not out["intact"]:
+        raise ValueError(f"shard {shard}: the payload at {offset} hasn't the digest of its header")
+    return {"shard": shard, "offset": offset, "length": end - at, **out}, end
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """RECORD rows of all archives under folder, one record after the other."""
 
     def decode(batches):
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                shard, at, rows = int(path.rsplit("shard=", 1)[1].split("/")[0]), 0, []
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content").to_pylist()):
+                at, rows = 0, []
                 while at < len(data):
-                    content, end = member(data, at)
-                    rows.append({"shard": shard, "offset": at, "length": end - at, **described(*parse(content))})
+                    row, end = _record(shard, at, data, at)
+                    rows.append(row)
                     at = end + len(SEPARATOR)
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
 
-    return files.select("path", "content").mapInArrow(decode, RECORD)
+    return _archives(spark, folder).mapInArrow(decode, RECORD)
+
+
+def read_ranges(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    """RECORD rows of entries (shard, offset, length): each range of a shard by itself, whatever lies between them."""
+    wanted = entries.groupBy("shard").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # as many as a shard has records
+    met = wanted.join(_archives(spark, folder), "shard", "left")
+
+    def decode(batches):
+        for batch in batches:
+            for shard, ranges, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "ranges", "content"))):
+                if data is None:
+                    raise ValueError(f"shard {shard} is missing")
+                rows = []
+                for r in ranges:
+                    row, end = _record(shard, r["offset"], data[r["offset"] : r["offset"] + r["length"]], 0)
+                    if end != r["length"]:
+                        raise ValueError(f"shard {shard}: the record at {r['offset']} isn't as long as its entry says")
+                    rows.append(row)
+                yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
+
+    return met.mapInArrow(decode, RECORD)
 
 
 RECORD_ARROW = pa.schema(
@@ -314,18 +347,17 @@ def read_range(spark: SparkSession, folder: str, shard: int, offset: int, length
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives, then the index, then every capture looked up in the index and met with the record that lies there."""
+    """Archives, then the index, then every capture looked up in the index, and the range of bytes read that lies there."""
     from foldlake.llm.common import table
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = shared_path(spark, "warc")
     entries = write_archives(pages, folder)
     index = CaptureIndex.build(entries)
-    found = index.locate(pages.select(reversed_key("url").alias("key"), "page_id")).select("shard", "offset", "length", "key")
-    records = read_archives(spark, folder).where("intact")
-    return records.join(found, ["shard", "offset", "length"]).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    found = stored(index.locate(pages.select(reversed_key("url").alias("key"), "page_id")).select("shard", "offset", "length"), "captures-found")
+    if (n := found.count()) != (all_ := pages.count()):
+        raise ValueError(f"the index has {n} of {all_} captures")
+    return read_ranges(spark, folder, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""
