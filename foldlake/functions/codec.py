@@ -76,6 +76,12 @@ def bloom_size(items: int, rate: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(2) * bits / items)
 
 
+def bloom_columns(items: Column, rate: float) -> tuple[Column, Column]:
+    """bloom_size() for a column of numbers of items."""
+    bits = F.ceil(-items * F.lit(math.log(rate)) / F.lit(math.log(2) ** 2))
+    return bits.cast("bigint"), F.ceil(F.lit(math.log(2)) * bits / items).cast("bigint")
+
+
 def level_target(level: Column, base: int, factor: int = 10) -> Column:
     """Bytes at which a level is compacted: base * factor ** level."""
     return F.lit(base).cast("bigint") * F.pow(F.lit(factor), level).cast("bigint")

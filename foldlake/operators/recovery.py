@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.operators.fold import newest
+from foldlake.sources.shipping import free_name
 
 
 def valid_prefix(entries: DataFrame, ok: Column, log: str = "log_id", offset: str = "offset") -> DataFrame:
@@ -41,6 +42,20 @@ def gc_candidates(on_disk: DataFrame, live: DataFrame) -> DataFrame:
     return on_disk.join(live, ["kind", "file_id"], "left_anti")
 
 
+def take(rows: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
+    """The first n of rows that are numbered from 0."""
+    return rows.where(F.col(ordinal) < F.lit(n))
+
+
+def skip(rows: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
+    """All but the first n of rows that are numbered from 0."""
+    return rows.where(F.col(ordinal) >= F.lit(n))
+
+
 def pair_by_ordinal(left: DataFrame, right: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Rows of two lists at the same place (frozen tables and their logs)."""
-    return left.join(right, ordinal)
+    """Rows of two lists at the same place (frozen tables and their logs); fails if one list is longer."""
+    here, there = free_name(left, "here"), free_name(right, "there")
+    both = left.withColumn(here, F.lit(True)).join(right.withColumn(there, F.lit(True)), ordinal, "full")
+    odd = F.raise_error(F.lit("the lists have different lengths")).cast("boolean")
+    paired = F.when(F.col(here) & F.col(there), True).otherwise(odd)
+    return both.where(paired).drop(here, there)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +21,7 @@ RUN_MAGIC = b"\x41\x42\x43\x44"
 RUN_FOOTER = 24
 MANIFEST_MAGIC = b"ELSM"
 MANIFEST_HEADER = 24
+BLOCK_BYTES = 4096
 VALUE_TYPES = {0: "bytes", 1: "str", 2: "int"}
 
 ENTRY_SCHEMA = (
@@ -152,6 +153,96 @@ def decode_manifest(data: bytes) -> dict:
     return {"wals": wals, "levels": levels}
 
 
+def _number(n: int, width: int) -> bytes:
+    return n.to_bytes(width, "little")
+
+
+def encode_key(key: bytes, lsn: int) -> bytes:
+    return _number(lsn, 8) + _number(len(key), 2) + key
+
+
+def encode_value(row: dict) -> bytes:
+    kind = row["value_type"]
+    if row["tombstone"]:
+        return _number(1, 1) + _number(0, 4)
+    code = next(k for k, name in VALUE_TYPES.items() if name == kind)
+    payload = {"bytes": lambda: bytes(row["v_bytes"]), "str": lambda: row["v_str"].encode(), "int": lambda: struct.pack("<q", row["v_int"])}[kind]()
+    return _number(code << 1, 1) + _number(len(payload), 4) + payload
+
+
+def _sectioned(body: bytes) -> bytes:
+    return _number(len(body), 4) + _number(zlib.crc32(body), 4) + body
+
+
+def encode_run(rows: Iterable[dict], block_bytes: int = BLOCK_BYTES) -> bytes:
+    """The file of a sorted run: blocks, the index over them, a section for a filter (left empty: ours is Parquet's), the footer.
+
+    rows come in the order of keys, newest version first; a block ends with the row that brings it to block_bytes.
+    """
+    out, index, block, first, last = bytearray(), bytearray(), bytearray(), None, None
+    least = most = None
+
+    def close() -> None:
+        nonlocal block, first
+        index.extend(first + last + _number(len(out), 8))
+        out.extend(_sectioned(bytes(block)))
+        block, first = bytearray(), None
+
+    for r in rows:
+        last = encode_key(bytes(r["key"]), r["lsn"])
+        first = first or last
+        least, most = least or last, last
+        block += last + encode_value(r)
+        if len(block) >= block_bytes:
+            close()
+    if block:
+        close()
+    where = len(out)
+    none = encode_key(b"", 0)
+    out += _sectioned((least or none) + (most or none) + bytes(index))
+    tail = _number(where, 8) + _number(len(out), 8)
+    return bytes(out) + _sectioned(b"") + tail + _number(zlib.crc32(tail), 4) + RUN_MAGIC
+
+
+def encode_manifest(manifest: dict) -> bytes:
+    """The file of {wals, levels}, as decode_manifest gives it."""
+    body = bytearray(_number(len(manifest["wals"]), 4))
+    for w in manifest["wals"]:
+        body += _number(w, 4)
+    body += _number(len(manifest["levels"]), 4)
+    for files in manifest["levels"]:
+        body += _number(len(files), 4)
+        for f in files:
+            body += _number(f["file_id"], 4) + _number(f["file_size"], 4) + encode_key(*f["min"]) + encode_key(*f["max"])
+    numbers = (zlib.crc32(bytes(body)), len(body), 0, len(manifest["wals"]), len(manifest["levels"]))
+    return MANIFEST_MAGIC + struct.pack("<5I", *numbers) + bytes(body)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write rows (name, content) as files of any file system that Spark knows, one at a time by the driver: an export of bounded files."""
+    spark = files.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.select("name", "content").toLocalIterator():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}"), True)
+        out.write(bytearray(r["content"]))
+        out.close()
+
+
+def run_files(rows: DataFrame, run: str = "run", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(name, content) of the runs that rows of the log lie in; a run is bounded by the file target."""
+    ship(rows.sparkSession)
+
+    def build(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["key", "lsn"], ascending=[True, False])
+        ints = pdf["v_int"].astype("Int64")
+        own = (r | {"v_int": None if pd.isna(i) else int(i)} for r, i in zip(pdf.to_dict("records"), ints))
+        return pd.DataFrame({"name": [f"{key[0]:05d}.sst"], "content": [encode_run(own, block_bytes)]})
+
+    return rows.groupBy(run).applyInPandas(build, "name string, content binary")
+
+
 def _read(spark: SparkSession, path: str, pattern: str, decode) -> DataFrame:
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
@@ -187,3 +278,20 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
         if m := re.fullmatch(r"(\d+)\.(wal|sst|mf)", f.getPath().getName()):
             found.append((m[2], int(m[1]), f.getPath().toString(), f.getLen()))
     return spark.createDataFrame(found, "kind string, file_id int, path string, length long")
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(manifest, wals, level, file_id, file_size, min_key, min_lsn, max_key, max_lsn): a row for each file of all *.mf under path."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mf").load(path).select("path", "content")
+
+    def rows(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"]):
+                m = decode_manifest(bytes(data))
+                own = [(name, m["wals"], k, f["file_id"], f["file_size"], *f["min"], *f["max"]) for k, files in enumerate(m["levels"]) for f in files]
+                yield pd.DataFrame(own, columns=["manifest", "wals", "level", "file_id", "file_size", "min_key", "min_lsn", "max_key", "max_lsn"])
+
+    return files.mapInPandas(rows, "manifest string, wals array<int>, level int, file_id int, file_size long, min_key binary, min_lsn long, max_key binary, max_lsn long")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foldlake.plans import catalog
+from foldlake.plans import catalog, catalog_store  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
