@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-Each Arrow batch of documents is a shard. Its words are numbered by the benchmark's vocabulary (0: in no test item), and the
+Documents are dealt to shards of SHARD_BYTES or of one text. A shard's words are numbered by the benchmark's vocabulary (0: in no test item), and the
 shard's suffix array holds every suffix that could match: those whose first words all occur in the benchmark. Every test suffix
 (each window of WINDOW consecutive words of an item; an item with fewer words is one window) is binary-searched in the array of
-every shard, which gives the range of its occurrences, their locations, and by chaining neighbours the longest verbatim match.
+every shard, which gives the range of its occurrences and their locations; neighbours that go on in the same item join to its longest
+verbatim matches (of a whole window or more).
 The documents never move: the benchmark's windows are broadcast in blocks of bounded size, and one pass over the documents
 answers each block. Nothing is shuffled unless the benchmark needs more than one block.
 
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from foldlake.llm.common import bytes_of, field, free_name, small_batches
 
 WINDOW = 10
-#: UTF-8 bytes of item text in one broadcast block of the benchmark.
-BLOCK_BYTES = 32 << 20
+#: UTF-8 bytes of item text in one broadcast block of the benchmark, which is about ten times as large in a task.
+BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of texts in one shard, which takes up to about thirty times as much while it is searched.
+SHARD_BYTES = 4 << 20
 
 #: Lower-cases A-Z and turns all ASCII but digits and letters into spaces; bytes from 0x80 on belong to words.
 TO_WORDS = bytes(
@@ -50,77 +53,109 @@ def bench_words(data: bytes) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The windows of a block of test items, numbered and sorted, ready to be searched for."""
+    """The windows of a block of test items, numbered and sorted, ready to be searched for.
+
+    A word of the block takes about 60 bytes: its window as a key of 4 bytes a word, and the item and offset that it starts at.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.window, self.vocab = window, {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in bench_words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[i : i + window])].add(item)
-        keys = sorted(owners)
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.owners = [sorted(owners[k]) for k in keys]
-        self.low = self.packed([k + (0,) * (window - len(k)) for k in keys])
-        self.high = self.packed([k + (0xFFFFFFFF,) * (window - len(k)) for k in keys])
-        self.least = int(self.lengths.min()) if keys else 0
-
-    def packed(self, rows) -> np.ndarray:
+        self.items = [item for item, _ in items]
+        number = self.vocab.setdefault
+        texts = [np.array([number(w, len(self.vocab) + 1) for w in bench_words(text)], np.uint32) for _, text in items]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        # full windows of long items; an item with fewer words is one window, filled up with zeros
+        counts = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        item = np.repeat(np.arange(len(texts)), counts)
+        offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = np.concatenate([*texts, np.zeros(window, np.uint32)])
+        begin = (np.cumsum(sizes) - sizes)[item] + offset
+        length = np.minimum(sizes[item] - offset, window)
+        rows = np.lib.stride_tricks.sliding_window_view(flat, window)[begin].astype(">u4")
+        rows[np.arange(window) >= length[:, None]] = 0
+        keys = self.packed(rows)
+        order = np.lexsort((offset, item, keys))
+        keys, self.item, self.offset = keys[order], item[order].astype(np.int32), offset[order].astype(np.int32)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.first = np.append(np.flatnonzero(new), len(keys))  # where the owners of each distinct window begin
+        self.low = keys[new]
+        self.lengths = length[order][new].astype(np.int32)
+        self.short = np.flatnonzero(self.lengths < window)
+        high = np.frombuffer(b"".join(k.ljust(4 * window, b"\0") for k in self.low[self.short]), ">u4").reshape(-1, window).copy()
+        high[np.arange(window) >= self.lengths[self.short][:, None]] = 0xFFFFFFFF
+        self.high = self.packed(high)
+        self.least = int(self.lengths.min()) if len(self.low) else 0
+
+    def packed(self, rows: np.ndarray) -> np.ndarray:
         """Rows of word numbers as byte strings whose order is that of the numbers."""
-        a = np.ascontiguousarray(np.asarray(rows, dtype=">u4").reshape(-1, self.window))
-        return a.view(f"S{4 * self.window}").ravel()
+        return np.ascontiguousarray(rows, ">u4").view(f"S{4 * self.window}").reshape(-1)
 
-    def search(self, texts: list[bytes]) -> tuple[list[int], list[tuple[int, int, int]]]:
-        """Words of each text, and all occurrences as (position in the shard, window, length); texts are one word apart."""
-        get, counts, parts = self.vocab.get, [], []
-        for text in texts:
+    def search(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; and all occurrences of windows as (text, first word there, window), by the shard's suffix array."""
+        get, counts, parts = self.vocab.get, np.zeros(len(texts), np.int64), []
+        none = np.zeros(0, np.int64)
+        for k, text in enumerate(texts):
             found = bench_words(text)
-            counts.append(len(found))
-            ids = np.zeros(len(found) + 1, np.int64)
-            ids[:-1] = np.fromiter(map(get, found, repeat(0)), np.int64, len(found))
+            counts[k] = len(found)
+            ids = np.zeros(len(found) + 1, np.uint32)  # texts are one word of no item apart
+            ids[:-1] = np.fromiter(map(get, found, repeat(0)), np.uint32, len(found))
             parts.append(ids)
-        if not parts or not len(self.owners):
-            return counts, []
-        ids = np.concatenate([*parts, np.zeros(self.window, np.int64)])
+        if not parts or not len(self.low):
+            return counts, none, none, none
+        ids = np.concatenate([*parts, np.zeros(self.window, np.uint32)])
         # how many words from each place on are the benchmark's: the next 0's place less this one's
         zero = np.flatnonzero(ids == 0)
         places = np.flatnonzero(ids)
         run = zero[np.searchsorted(zero, places)] - places
         places, run = places[run >= self.least], run[run >= self.least]
         if not len(places):
-            return counts, []
-        rows = ids[places[:, None] + np.arange(self.window)]
+            return counts, none, none, none
+        rows = np.lib.stride_tricks.sliding_window_view(ids, self.window)[places]
         rows[np.arange(self.window) >= run[:, None]] = 0  # a suffix ends with its text, or with a word of no item
         suffixes = self.packed(rows)
         order = np.argsort(suffixes, kind="stable")
         array = suffixes[order]
-        first, last = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
-        met = [
-            (int(places[at]), int(w), int(self.lengths[w]))
-            for w in np.flatnonzero(last > first)
-            for at in order[first[w] : last[w]]
-        ]
-        return counts, met
-
-    def spans(self, met: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        """Occurrences (start, window) of one text as maximal verbatim spans (start, end, item)."""
-        by: dict[str, set[tuple[int, int]]] = defaultdict(set)
-        for start, w in met:
-            for item in self.owners[w]:
-                by[item].add((start, start + int(self.lengths[w])))
-        out = []
-        for item, own in by.items():
-            run = None
-            for start, end in sorted(own):
-                if run and start == run[2] + 1:  # the next window of the same stretch
-                    run = (run[0], end, start)
-                    continue
-                if run:
-                    out.append((run[0], run[1], item))
-                run = (start, end, start)
-            out.append((run[0], run[1], item))
-        return sorted(out)
+        first, last = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.low, "right")
+        last[self.short] = np.searchsorted(array, self.high, "right")
+        times = last - first
+        window = np.repeat(np.arange(len(times)), times)
+        place = places[order[np.repeat(first, times) + np.arange(len(window)) - np.repeat(np.cumsum(times) - times, times)]]
+        begin = np.cumsum(counts + 1) - counts - 1
+        text = np.searchsorted(begin, place, "right") - 1
+        return counts, text, place - begin[text], window
+
+    def spans(self, text: np.ndarray, start: np.ndarray, window: np.ndarray) -> dict[int, list[tuple[int, int, str]]]:
+        """Occurrences as each text's longest verbatim matches (start, end, item): neighbours that go on in the item join."""
+        if not len(window):
+            return {}
+        times = self.first[window + 1] - self.first[window]
+        owner = np.repeat(self.first[window], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        text, start, length = np.repeat(text, times), np.repeat(start, times), np.repeat(self.lengths[window], times)
+        item, shift = self.item[owner], self.offset[owner] - start
+        order = np.lexsort((start, shift, item, text))
+        text, start, length, item, shift = text[order], start[order], length[order], item[order], shift[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(start) != 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text)) - 1
+        out: dict[int, set[tuple[int, int, str]]] = defaultdict(set)
+        for k, a, b, i in zip(text[first].tolist(), start[first].tolist(), (start[last] + length[last]).tolist(), item[first].tolist()):
+            out[k].add((a, b, self.items[i]))
+        return {k: sorted(v) for k, v in out.items()}
+
+
+def shards(texts: list[bytes]):
+    """Runs of texts of at most SHARD_BYTES, or of one text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > SHARD_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 def covered(spans) -> int:
@@ -181,18 +216,16 @@ def _one_block(docs: DataFrame, block, text: str, column: str) -> DataFrame:
     def answer(batches):
         tests = block.value
         for batch in batches:
-            counts, met = tests.search(batch.column(data).to_pylist())
-            starts = np.cumsum([0, *(c + 1 for c in counts)])
-            own: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for place, w, _ in met:
-                k = int(np.searchsorted(starts, place, "right")) - 1
-                own[k].append((place - int(starts[k]), w))
             rows = []
-            for k, (count, before) in enumerate(zip(counts, batch.column(column).to_pylist())):
-                spans = tests.spans(own[k]) if k in own else []
+            before_all = batch.column(column).to_pylist()
+            for texts in shards(batch.column(data).to_pylist()):
+                counts, *met = tests.search(texts)
+                own, at = tests.spans(*met), len(rows)
+                rows += [(count, own.get(k, []), before_all[at + k]) for k, count in enumerate(counts.tolist())]
+            for k, (count, spans, before) in enumerate(rows):
                 if before:
                     spans = sorted({*spans, *((s["start"], s["end"], s["item"]) for s in before["spans"])})
-                rows.append(summary(count, spans))
+                rows[k] = summary(count, spans)
             kept = [c for c in batch.schema.names if c not in (data, column)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(rows, FOUND_ARROW)], names=[*kept, column]
