@@ -8,15 +8,19 @@ Bayesian information criterion's price). The prediction is the language with the
 The mixture log-likelihood is concave, so max_j n*(g_j - 1), g being its gradient at the current proportions, bounds what any
 further language could add. Most texts stop at that test after one language, without EM.
 
-The distributions are learned from a bounded sample: SAMPLE_ROWS labelled documents of each language, chosen by a hash of their
-text, at whole length. LANGUAGES bounds how many label values are learned. Prediction reads only the text.
+The distributions are learned from a bounded sample: about SAMPLE_ROWS different labelled texts of each language, chosen by a hash of
+the text, at whole length; copies count once, so a label with one text is learned like any other. LANGUAGES bounds how many label
+values are learned (a warning says so if there are more), as each takes SLOTS numbers in every task. Expectation-maximisation runs
+until the likelihood rises by less than TOLERANCE nats. Prediction reads only the text.
 
-Defined results: null texts and texts without a letter are `und` with score 0; without any labelled text all are `und`.
-Repeated rows are predicted alike; ties in proportion go to the language that sorts first.
+Defined results: null texts and texts without a letter are `und` with score 0; without any labelled text all are `und`. Repeated
+rows are predicted alike; ties in likelihood or proportion go to the language that sorts first; null ids and extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 
 from foldlake.llm.common import field, free_name, small_batches
 
-#: Labelled documents a language that the distributions are learned from.
+#: Different labelled texts a language that the distributions are learned from, or somewhat more.
 SAMPLE_ROWS = 1500
 #: Most label values that are learned: those with the most documents.
 LANGUAGES = 512
@@ -34,7 +38,7 @@ SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTH = 0.05
 PENALTY = 3.0
-STEPS = 40
+TOLERANCE = 1e-3
 UND = "und"
 
 PREDICTED = T.StructType(
@@ -87,22 +91,21 @@ class Mixture:
     def __init__(self, langs: list[str], counts: np.ndarray) -> None:
         self.langs = langs
         smooth = counts + SMOOTH
-        self.p = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)
+        self.p = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T, np.float32)
 
     @staticmethod
     def em(p: np.ndarray, c: np.ndarray, pi: np.ndarray, n: float) -> tuple[np.ndarray, float]:
         last = -np.inf
-        for _ in range(STEPS):
+        while True:  # no step lowers the likelihood, and it is bounded
             s = p @ pi
             now = float(c @ np.log(s))
-            if now - last < 1e-3:
-                break
+            if not now - last >= TOLERANCE:
+                return pi, now
             last = now
             pi = pi * ((c / s) @ p) / n
-        return pi, float(c @ np.log(p @ pi))
 
     def infer(self, slots: np.ndarray, c: np.ndarray) -> list[tuple[str, float]]:
-        p, n = self.p[slots], float(c.sum())
+        p, n = self.p[slots].astype(np.float64), float(c.sum())
         price = PENALTY + 0.5 * np.log(n)
         singles = c @ np.log(p)
         own = [int(np.argmax(singles))]
@@ -134,12 +137,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
     spark = labelled.sparkSession
     small_batches(spark)
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    known = {r["lang"]: r["count"] for r in sizes}
+    # different texts, within a few percent, and without a shuffle of texts
+    sizes = usable.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        warnings.warn(f"more than {LANGUAGES} labels: those with the most texts are learned", stacklevel=2)
+    known = {r["lang"]: r["n"] for r in sizes[:LANGUAGES]}
     if not known:
         return Mixture([], np.zeros((0, SLOTS)))
-    # a row is in if the hash of its text falls below the share of its language's rows that the sample has room for
-    share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, rows / n))])[F.col(lang)]
+    # a text is in if its hash falls below the share of its language's texts that the sample has room for
+    share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 1.1 * rows / max(n, 1)))])[F.col(lang)]
     chosen = usable.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * float(1 << 20))
     chosen = chosen.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("data")).distinct()  # copies count once
 
