@@ -5,18 +5,22 @@ A byte goes if a string of SPAN bytes covers it that also starts in a document w
 1. Anchors. Each window of SPAN bytes has a least hash among the GRAM-byte grams in it (leftmost on ties). Consecutive windows with the
    same anchor form a stretch of at most 2 * SPAN - GRAM bytes. Equal windows have equal anchors, so whatever repeats meets at its
    anchor. Anchors (4 bytes of hash, 8 of the stretch's hash, id, start, length) are dealt by hash as packed arrays.
-2. Pre-aggregation. Of stretches that are equal as a whole, the one in the smallest document stays and the others are removed whole.
-   An anchor that lies in one document alone is done. What is left are different stretches around one anchor.
+2. Pre-aggregation. Of stretches that are equal as a whole, the one in the smallest document stays and the others are removed whole: first
+   within each batch, so that a line in all documents sends a stretch a batch, then where they are dealt to. Anchors that a sample of
+   documents shows to be frequent are dealt by their stretches instead of to one bucket. An anchor that lies in one document alone is
+   done. What is left are different stretches around one anchor.
 3. Merged transforms. Those stretches are cut from the texts and dealt by anchor. In each task they are split into two shards; a
    shard's suffixes are sorted and its Burrows-Wheeler transform is kept. The transforms are merged by interleave refinement (Holt &
    McMillan 2014): an array says from which shard each suffix comes; stably sorting it by the symbols that it reads off the transforms,
    two at a time, h times, orders all suffixes by their first 2h symbols without comparing them again. The boundaries that appear in a
    round are common prefixes of less than 2h symbols (Egidi & Manzini's Gap), so that after SPAN / 2 rounds the intervals left are
    exactly the suffixes that share SPAN bytes. Each interval's smallest document decides for its members.
-4. The removed spans of a document are joined to its text by a shuffle join, merged, and cut out.
+   An anchor with more than HOT stretches is dealt to several tasks by document. Each merges its own transforms and settles their
+   intervals; each interval then sends its smallest document, under 128 bits of hash of its string, to a grouped minimum over the tasks.
+4. The removed spans of a document are joined to its text, merged, and cut out.
 
-Anchors with more than HOT different stretches (a passage with as many neighbours) don't go to one task: their windows are hashed (128
-bits) and the smallest document of each is a grouped minimum. Nothing is capped.
+Nothing is capped. Stretches that share an anchor are told apart by 64 bits of hash beside the anchor (a polynomial that a crafted text of
+at most 2 * SPAN - GRAM bytes could meet; chance does so once in 2 ** 64 pairs around one anchor).
 
 Defined results: null texts are empty; texts shorter than SPAN keep all bytes; rows with a null id, and rows that share an id but not
 a text, keep all bytes and remove none elsewhere; rows that repeat an id and a text are cut alike; an empty table gives an empty result.
@@ -37,7 +41,8 @@ from foldlake.llm.common import bytes_of, mix, small_batches, stored
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM  # grams of a window, less one
 CHUNK = 200_000  # bytes of stretches merged at once, beyond which a chunk ends with its anchor
-HOT = 20_000
+HOT = 1000  # stretches of one anchor that one task merges
+SAMPLE, FREQUENT = 8192, 64  # documents of the sample that tells frequent anchors: those in one of FREQUENT or more
 BUCKET_BYTES = 48 << 20  # bytes of text for each bucket of anchors
 
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -101,8 +106,41 @@ ANCHORS = "bucket int, anchor binary, own binary, id binary, start binary, lengt
 KINDS = {"anchor": np.uint32, "own": np.uint64, "id": np.int64, "start": np.uint32, "length": np.uint8}
 
 
-def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed arrays of anchors by bucket; docs has id and data."""
+def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted anchors of one in FREQUENT documents of a sample, or more. They only decide where stretches are dealt to."""
+
+    def find(batches):
+        for batch in batches:
+            parts = [np.unique(stretches(t)[0]) for t in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))], names=["anchor"])
+
+    share = max(1, n // SAMPLE)
+    chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("data").mapInArrow(find, "anchor long")
+    least = max(2, min(n, SAMPLE) // FREQUENT)
+    rows = chosen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("anchor").collect()  # FREQUENT times a document's anchors at most
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _anchors(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """Packed arrays of anchors by bucket; docs has id and data.
+
+    Buckets from `buckets` on hold stretches of frequent anchors, with all 64 bits of these; negative ones hold what a batch has
+    settled, with id, start and length only.
+    """
+
+    def pack(columns: dict[str, np.ndarray], bucket: np.ndarray, kinds: dict):
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(first[1:], len(bucket))
+        packed = {}
+        for k in KINDS:
+            if k in kinds:
+                c = columns[k][order].astype(kinds[k])
+                packed[k] = pa.array([c[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
+            else:
+                packed[k] = pa.array([b""] * len(first), pa.binary())
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first].astype(np.int32)), **packed})
 
     def find(batches):
         for batch in batches:
@@ -112,29 +150,62 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if not sum(n):
                 continue
             anchor, own, start, length = (np.concatenate(c) for c in zip(*parts))
-            bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
-            columns = {
-                "anchor": anchor & np.uint64(0xFFFFFFFF), "own": own, "id": np.repeat(np.array(ids, np.int64), n),
-                "start": start, "length": length,
-            }
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-            columns = {k: c[order].astype(KINDS[k]) for k, c in columns.items()}
-            some = np.flatnonzero(np.diff(cuts))
-            packed = {k: [c[cuts[b] : cuts[b + 1]].tobytes() for b in some] for k, c in columns.items()}
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), **{k: pa.array(packed[k], pa.binary()) for k in KINDS}})
+            columns = {"anchor": anchor, "own": own, "id": np.repeat(np.array(ids, np.int64), n), "start": start, "length": length}
+            bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            later = _later_copies(anchor, own, columns["id"])
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, anchor), len(frequent) - 1)
+                hot = (frequent[at] == anchor) & ~later
+                if hot.any():
+                    yield pack({k: c[hot] for k, c in columns.items()}, buckets + (own[hot] % np.uint64(buckets)).astype(np.int64), WIDE)
+            else:
+                hot = np.zeros(len(later), bool)
+            if later.any():
+                salt = -1 - int(own[0] % np.uint64(buckets))
+                yield pack({k: c[later] for k, c in columns.items()}, np.full(int(later.sum()), salt), SETTLED)
+            rest = ~(later | hot)
+            if rest.any():
+                yield pack({k: c[rest] for k, c in columns.items()}, bucket[rest], KINDS)
 
     return docs.select("id", "data").mapInArrow(find, ANCHORS)
 
 
+WIDE = KINDS | {"anchor": np.uint64}
+SETTLED = {k: KINDS[k] for k in ("id", "start", "length")}
+
+
+def _later_copies(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an equal stretch lies in a smaller document."""
+    order = np.argsort(own, kind="stable")
+    new = np.ones(len(own), bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    if (~new & (np.diff(anchor[order], prepend=np.uint64(0)) != 0)).any():  # equal by chance, under another anchor
+        order = np.lexsort((own, anchor))
+        new[1:] = (own[order][1:] != own[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+    first = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(own))))
+    out = np.zeros(len(own), bool)
+    out[order] = ids[order] > least
+    return out
+
+
 MET = "bucket int, anchor long, id long, start int, length int, open boolean"
 
 
 def _met(anchors: DataFrame, buckets: int) -> DataFrame:
     """Stretches to remove whole (not open), and those whose anchor has different stretches in several documents (open)."""
 
+    def rows(bucket, anchor, a, at, is_open):
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(bucket.astype(np.int32)), "anchor": pa.array(anchor.astype(np.int64)), "id": a["id"][at],
+             "start": a["start"][at].astype(np.int32), "length": a["length"][at].astype(np.int32), "open": is_open}
+        )
+
     def judge(bucket: int, a: dict[str, np.ndarray]):
-        key = a["anchor"].astype(np.uint64) << np.uint64(32) | a["own"] >> np.uint64(32)
+        if bucket < 0:
+            n = len(a["id"])
+            return rows(np.full(n, bucket), np.zeros(n), a, slice(None), np.zeros(n, bool))
+        key = (a["anchor"].astype(np.uint64) & np.uint64(0xFFFFFFFF)) << np.uint64(32) | a["own"] >> np.uint64(32)
         order = np.argsort(key, kind="stable")
         if ((np.diff(key[order]) == 0) & (np.diff(a["own"][order]) != 0)).any():  # equal in the upper half of the hash only
             order = np.lexsort((a["own"], key))
@@ -145,34 +216,34 @@ def _met(anchors: DataFrame, buckets: int) -> DataFrame:
         groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         n = np.diff(np.append(groups, len(classes)))
         several = (n > 1) & (np.minimum.reduceat(least, groups) < np.maximum.reduceat(most, groups))
+        if bucket >= buckets:  # other stretches of a frequent anchor lie elsewhere
+            several[:] = True
         size = np.diff(np.append(classes, len(key)))
         first = np.repeat(least, size)
         is_open = np.repeat(np.repeat(several, n), size) & (ids == first)
         keep = np.flatnonzero((ids > first) | is_open)
         at = order[keep]
-        return pa.RecordBatch.from_pydict(
-            {"bucket": pa.array(np.full(len(at), bucket, np.int32)), "anchor": a["anchor"][at].astype(np.int64), "id": a["id"][at],
-             "start": a["start"][at].astype(np.int32), "length": a["length"][at].astype(np.int32), "open": is_open[keep]}
-        )
+        of = (a["anchor"][at] >> np.uint64(32)) % np.uint64(buckets) if bucket >= buckets else np.full(len(at), bucket)
+        return rows(of, a["anchor"][at].astype(np.uint64) & np.uint64(0xFFFFFFFF), a, at, is_open[keep])
+
+    def unpacked(bucket: int, held: dict[str, list[bytes]]):
+        kinds = SETTLED if bucket < 0 else WIDE if bucket >= buckets else KINDS
+        return {k: np.frombuffer(b"".join(held[k]), kind) for k, kind in kinds.items()}
 
     def meet(batches):
         # rows lie sorted by bucket: one bucket is held at a time
         now, held = None, {k: [] for k in KINDS}
-
-        def done():
-            return judge(now, {k: np.frombuffer(b"".join(v), KINDS[k]) for k, v in held.items()})
-
         for batch in batches:
             columns = {k: batch.column(k).to_pylist() for k in ("bucket", *KINDS)}
             for i, bucket in enumerate(columns["bucket"]):
-                if now is not None and bucket != now:
-                    yield done()
+                if now is not None and (bucket != now or now < 0):
+                    yield judge(now, unpacked(now, held))
                     held = {k: [] for k in KINDS}
                 now = bucket
                 for k in KINDS:
                     held[k].append(columns[k][i])
         if now is not None:
-            yield done()
+            yield judge(now, unpacked(now, held))
 
     return anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, MET)
 
@@ -233,10 +304,10 @@ def merge_transforms(one: np.ndarray, other: np.ndarray, length: int) -> tuple[n
     return source, interval
 
 
-def repeated_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of each window of SPAN bytes that a string of a smaller id holds as well."""
+def windows_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, interval) of each window of SPAN bytes, in the order of intervals; equal windows share an interval."""
     if len(strings) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        strings = [*strings, b""]
     shards = [np.arange(0, len(strings), 2), np.arange(1, len(strings), 2)]
     built = [shard_transform([strings[i] for i in own]) for own in shards]
     source, interval = merge_transforms(built[0][0], built[1][0], SPAN)
@@ -246,12 +317,21 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray,
     offset[at] = np.concatenate([b[2] for b in built])
     lengths = np.array([len(s) for s in strings])
     whole = np.flatnonzero(offset + SPAN <= lengths[string])
-    string, offset, interval = string[whole], offset[whole], interval[whole]
-    if not len(whole):
-        return string, offset
+    return string[whole], offset[whole], interval[whole]
+
+
+def least_of(ids: np.ndarray, interval: np.ndarray) -> np.ndarray:
+    """For each row the smallest id in its interval; rows lie in the order of intervals."""
+    if not len(ids):
+        return ids
     first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.repeat(np.minimum.reduceat(ids[string], first), np.diff(np.append(first, len(interval))))
-    gone = ids[string] > least
+    return np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(interval))))
+
+
+def repeated_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of each window of SPAN bytes that a string of a smaller id holds as well."""
+    string, offset, interval = windows_of(strings)
+    gone = ids[string] > least_of(ids[string], interval)
     return string[gone], offset[gone]
 
 
@@ -271,11 +351,6 @@ CUT = "bucket int, anchor long, id long, start int, piece binary"
 SPANS = "id long, start int, end int"
 
 
-def _placed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """docs joined to a table by id: always a shuffle of both, so that cost grows in proportion at every size."""
-    return docs.join(by_doc.hint("merge"), "id")
-
-
 def _pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
     lists = open_.groupBy("id").agg(F.collect_list(F.struct("bucket", "anchor", "start", "length")).alias("wanted"))
     lists = stored(lists, "open-by-document")  # as many as a document has stretches
@@ -289,53 +364,52 @@ def _pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
                     out["piece"].append(data[w["start"] : w["start"] + w["length"]])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())]))
 
-    return _placed(docs.select("id", "data"), lists).mapInArrow(cut, CUT)
+    return docs.select("id", "data").join(lists, "id").mapInArrow(cut, CUT)
+
+
+FOUND = "id long, start int, end int, a long, b long"
 
 
 def _merged_spans(pieces: DataFrame) -> DataFrame:
+    """Spans to remove; and of anchors that several tasks share (shards > 1) each interval's windows in its smallest document, by hash."""
+    import xxhash
+
+    def table(ids, start, end, marks=None):
+        none = pa.nulls(len(ids), pa.int64())
+        a, b = (none, none) if marks is None else (pa.array(marks[:, 0]), pa.array(marks[:, 1]))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), a, b], names=["id", "start", "end", "a", "b"])
+
     def merge(batches):
-        held, size, last = [], 0, None
+        held, size, last, shared = [], 0, None, False
 
         def answer():
-            ids = np.array([h[0] for h in held], np.int64)
-            start = np.array([h[1] for h in held], np.int64)
-            string, a, b = runs_of(*repeated_windows([h[2] for h in held], ids))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[string]), pa.array((start[string] + a).astype(np.int32)), pa.array((start[string] + b).astype(np.int32))], names=["id", "start", "end"]
-            )
+            ids, start, strings = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), [h[2] for h in held]
+            string, offset, interval = windows_of(strings)
+            at_least = ids[string] == least_of(ids[string], interval) if len(string) else np.zeros(0, bool)
+            own, a, b = runs_of(string[~at_least], offset[~at_least])
+            yield table(ids[own], start[own] + a, start[own] + b)
+            if shared and len(string):
+                string, offset, interval = string[at_least], offset[at_least], interval[at_least]
+                first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+                marks = b"".join(xxhash.xxh3_128_digest(strings[s][o : o + SPAN]) for s, o in zip(string[first].tolist(), offset[first].tolist()))
+                marks = np.repeat(np.frombuffer(marks, np.int64).reshape(-1, 2), np.diff(np.append(first, len(string))), axis=0)
+                yield table(ids[string], start[string] + offset, start[string] + offset + SPAN, marks)
 
         for batch in batches:
-            for bucket, anchor, own, start, piece in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchor", "id", "start", "piece"))):
-                if size > CHUNK and (bucket, anchor) != last:
-                    yield answer()
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "anchor", "shard", "shards", "id", "start", "piece"))
+            for bucket, anchor, shard, shards, own, start, piece in zip(*columns):
+                group = (bucket, anchor, shard)
+                if held and group != last and (size > CHUNK or shared or shards > 1):
+                    yield from answer()
                     held, size = [], 0
                 held.append((own, start, piece))
-                size, last = size + len(piece), (bucket, anchor)
+                size, last, shared = size + len(piece), group, shards > 1
         if held:
-            yield answer()
+            yield from answer()
 
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, "bucket", "anchor").sortWithinPartitions("bucket", "anchor")
-    return dealt.mapInArrow(merge, SPANS)
-
-
-def _hashed_spans(pieces: DataFrame) -> DataFrame:
-    """The same for anchors with very many stretches: the smallest id of each window by its hash."""
-
-    def windows(batches):
-        import xxhash
-
-        for batch in batches:
-            out = {k: [] for k in ("a", "b", "id", "start")}
-            for own, start, piece in zip(*(batch.column(c).to_pylist() for c in ("id", "start", "piece"))):
-                for o in range(len(piece) - SPAN + 1):
-                    a, b = np.frombuffer(xxhash.xxh3_128_digest(piece[o : o + SPAN]), np.int64).tolist()
-                    out["a"].append(a), out["b"].append(b), out["id"].append(own), out["start"].append(start + o)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("start", pa.int32())]))
-
-    every = pieces.mapInArrow(windows, "a long, b long, id long, start int")
-    least = stored(every.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least-of-windows")
-    return every.join(least, ["a", "b"]).where("id > least").select("id", "start", (F.col("start") + SPAN).alias("end"))
+    dealt = pieces.repartition(parts, "bucket", "anchor", "shard").sortWithinPartitions("bucket", "anchor", "shard")
+    return dealt.mapInArrow(merge, FOUND)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -354,19 +428,26 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     small_batches(spark)
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data"))
     mixed = base.groupBy("id").agg(F.min(F.xxhash64("data")).alias("a"), F.max(F.xxhash64("data")).alias("b"), F.sum(F.octet_length("data")).alias("n"))
-    facts = mixed.agg(F.sum("n").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("ambiguous")).first()
+    facts = mixed.agg(F.sum("n").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("ambiguous"), F.count(F.lit(1)).alias("rows")).first()
     if facts["ambiguous"]:
         base = base.join(stored(mixed.where("a <> b").select("id"), "ambiguous-ids"), "id", "left_anti")
     buckets = max(1, -(-int(facts["n"] or 0) // BUCKET_BYTES))
     buckets = max(buckets, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met = stored(_met(_anchors(base, buckets), buckets), "stretches-met")
-    whole = met.where("not open").select("id", "start", (F.col("start") + F.col("length")).alias("end"))
+    frequent = _frequent(base, int(facts["rows"]))
+    met = stored(_met(_anchors(base, buckets, frequent), buckets), "stretches-met")
+    spans = met.where("not open").select("id", "start", (F.col("start") + F.col("length")).alias("end"))
     open_ = met.where("open")
-    hot = stored(open_.groupBy("bucket", "anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket", "anchor"), "hot-anchors")
-    pieces = stored(_pieces(base, open_), "pieces")
-    spans = whole.unionByName(_merged_spans(pieces.join(hot, ["bucket", "anchor"], "left_anti")))
+    hot = open_.groupBy("bucket", "anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = stored(hot.select("bucket", "anchor", F.ceil(F.col("n") / HOT).cast("int").alias("several")), "hot-anchors")
+    pieces = stored(_pieces(base, open_), "pieces").join(hot, ["bucket", "anchor"], "left")
+    pieces = pieces.withColumn("shards", F.coalesce("several", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    found = stored(_merged_spans(pieces), "merged-spans")
+    spans = spans.unionByName(found.where("a is null").select("id", "start", "end"))
     if not hot.isEmpty():
-        spans = spans.unionByName(_hashed_spans(pieces.join(hot, ["bucket", "anchor"], "left_semi")))
+        across = found.where("a is not null")
+        least = across.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+        least = stored(least, "least-of-intervals")
+        spans = spans.unionByName(across.join(least, ["a", "b"]).where("id > least").select("id", "start", "end"))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as a document has stretches
     return stored(spans, "repeated-spans")
 
@@ -374,7 +455,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept) of every row: kept is the bytes left."""
     spans = repeated_spans(docs, key, text)
-    found = spans.withColumnRenamed("id", "of").hint("merge")
+    found = spans.withColumnRenamed("id", "of")
     base = docs.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data"))
     at = base.join(found, F.col("id") == F.col("of"), "left").select("id", "data", "spans")
 
