@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.llm.common import WordHashes, bytes_of, drop_stored, mix, small_batches, stored, words
@@ -32,7 +32,7 @@ from foldlake.llm.components import components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 BIN_SHIFT = np.uint64(64 - 7)
-SMALL_BUCKET, BLOCK = 8, 256
+SMALL_BUCKET, BLOCK = 8, 128
 
 SHINGLE, THRESHOLD = 5, 80  # of the operator, unless a contract says otherwise
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -73,8 +73,13 @@ def bucket_keys(own: np.ndarray) -> np.ndarray:
         return mix((sketch.reshape(BANDS, ROWS) * _PLACES).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+def mark_of(text: str = "text") -> Column:
+    """A hash of the text, which tells rows apart that share an id."""
+    return F.xxhash64(bytes_of(text))
+
+
 def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, buckets): set_a and set_b are 128 bits that stand for the set."""
+    """(id, mark, n_shingles, set_a, set_b, buckets): mark is a hash of the text; set_a and set_b are 128 bits that stand for the set."""
     small_batches(docs.sparkSession)
 
     def answer(batches):
@@ -91,13 +96,14 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 b.append(int(mark[1]))
                 buckets.append(bucket_keys(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                [batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.array(buckets, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_a", "set_b", "buckets"],
+                names=["id", "mark", "n_shingles", "set_a", "set_b", "buckets"],
             )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data")).mapInArrow(
-        answer, "id long, n_shingles long, set_a long, set_b long, buckets array<long>"
+    marked = docs.select(F.col(key).cast("bigint").alias("id"), mark_of(text).alias("mark"), bytes_of(text).alias("data"))
+    return marked.mapInArrow(
+        answer, "id long, mark long, n_shingles long, set_a long, set_b long, buckets array<long>"
     )
 
 
@@ -190,7 +196,7 @@ def _left_over(members: DataFrame, known: DataFrame, sets: DataFrame, percent: i
         "bucket", F.col("id").alias("b"), F.col("component").alias("q")
     )
     pairs = one.join(two, "bucket").where("a < b and p <> q").select("a", "b").distinct()
-    found = _checked(pairs, sets, percent)
+    found = stored(_checked(pairs, sets, percent), "links-of-small-buckets")
     many = open_.where(F.col("n") > SMALL_BUCKET)
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
@@ -203,8 +209,11 @@ def _left_over(members: DataFrame, known: DataFrame, sets: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
-                    percent: int = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs: 100 * intersection >= percent * union links two texts."""
+                    percent: int = THRESHOLD, marks: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs: 100 * intersection >= percent * union links two texts.
+
+    With marks, `mark` too, which is mark_of() the row's text.
+    """
     held = stored(sketches(docs, key, text, size), "sketches")
     usable = held.where("n_shingles > 0 and id is not null")
     sets = stored(usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "set-classes")
@@ -227,7 +236,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     out = held.drop("buckets").join(of_set, (F.col("set_a") == F.col("of_a")) & (F.col("set_b") == F.col("of_b")), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("of_component", "id")).otherwise(F.col("id"))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), component))
-    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("id", *(["mark"] if marks else []), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
