@@ -140,6 +140,19 @@ def test_longest_match_and_empty_benchmark(spark):
     assert decontaminate.matches(df.where("false"), bench).count() == 0
 
 
+def test_longest_matches_follow_the_item(spark, monkeypatch):
+    """A text that goes on elsewhere in a periodic item is no longer match; repeated rows and items, null ids, several shards."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 64)
+    period = " ".join(["a b c d e f g h i j"] * 2 + ["x"] + ["b c d e f g h i j q"])
+    items = [(1, period), (1, period), (None, "m n o p q r s t u v w"), (2, "k k k k k k k k k k k k")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "a b c d e f g h i j q"), (1, "a b c d e f g h i j q"), (None, "k " * 15), (3, "z"), (4, "m n o p q r s t u v w m n o p q r s t u v")]
+    out = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bench).collect()
+    got = {(r.doc_id, r.found.n_hit, r.found.longest, tuple(r.found["items"])) for r in out}
+    assert len(out) == 5
+    assert got == {(1, 11, 10, ("1",)), (None, 15, 12, ("2",)), (3, 0, 0, ()), (4, 21, 11, ("null",))}
+
+
 # repeated passages
 
 
@@ -157,13 +170,20 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [bwt.HOT, 1])
-def test_repeated_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(bwt, "HOT", hot)
+@pytest.mark.parametrize("sizes", [{}, {"HOT": 1}, {"HOT": 3, "FREQUENT": 1000}, {"FREQUENT": 10**9}])
+def test_repeated_passages(spark, monkeypatch, sizes):
+    """As it is; most anchors shared by several tasks; all repeated anchors frequent; none frequent."""
+    for k, v in sizes.items():
+        monkeypatch.setattr(bwt, k, v)
+    if sizes.get("FREQUENT") == 10**9:
+        import numpy as np
+
+        monkeypatch.setattr(bwt, "_frequent", lambda docs, n: np.zeros(0, np.uint64))
     rnd = random.Random(4)
     texts = corpus(4, 30) + ["a" * 300, "a" * 49, "b" + "a" * 120, "ab" * 100, "é" * 60, "x" + "é" * 40, "\0" * 70]
     rnd.shuffle(texts)
-    got = bwt.deduplicated(docs(spark, texts)).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    df = docs(spark, texts).withColumns({k: F.lit("clash") for k in ("id", "data", "bucket", "anchor", "spans", "shard")})
+    got = bwt.deduplicated(df).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == brute_removed(texts)
 
 
@@ -179,7 +199,7 @@ def test_stretches_are_told_apart_by_64_bits(spark):
     import numpy as np
 
     data = bytes(random.Random(5).choices(b"abcdefgh ", k=300))
-    rows = bwt._anchors(spark.createDataFrame([(1, data)], "id long, data binary"), 1).collect()
+    rows = bwt._anchors(spark.createDataFrame([(1, data)], "id long, data binary"), 1, np.zeros(0, np.uint64)).collect()
     carried = b"".join(bytes(r.own) for r in rows)
     assert carried == bwt.stretches(data)[1].tobytes()
     own = [9 | 1 << 40, 9 | 1 << 41, 9 | 5 << 32, 8 | 5 << 32, 8 | 5 << 32]  # 32 bits of either half are equal for some
@@ -273,6 +293,59 @@ def test_mixtures(spark):
     assert langid.predict(train, langid.learn(train.where("false"))).where("predicted.lang <> 'und'").count() == 0
 
 
+def test_a_label_with_copies_of_one_text_is_learned(spark):
+    rnd = random.Random(2)
+    own = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(n))
+    for _ in range(3):
+        one = own("qxzw", 30)
+        train = spark.createDataFrame([(one, "fr")] * 4000 + [(own("aeio", 30), "en") for _ in range(400)], "text string, lang string")
+        model = langid.learn(train, rows=100)
+        assert model.langs == ["en", "fr"]
+        rows = [(None, one), (None, one), (1, own("aeio", 9))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("de"), "data_of_text": F.lit(0)})
+        assert sorted(r.predicted.lang for r in langid.predict(df, model).collect()) == ["en", "fr", "fr"]
+
+
+def test_ties_go_to_the_language_that_sorts_first():
+    import numpy as np
+
+    counts = np.array([[5.0, 1, 3], [5.0, 1, 3]])
+    assert langid.Mixture(["b", "c"], counts).infer(np.arange(3), np.array([4.0, 1, 1]))[0][0] == "b"
+
+
+def test_mixtures_equal_the_best_of_all_sets():
+    """Against every set of languages, each fitted by plain expectation-maximisation."""
+    import itertools
+
+    import numpy as np
+    import pandas as pd
+
+    rows = pd.read_parquet("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).dropna()
+    langs = sorted(rows["lang"].unique())
+    counts = np.zeros((len(langs), langid.SLOTS))
+    for t, k in zip(rows["text"][::2], rows["lang"][::2]):
+        slots, c = langid.grams(t.encode())
+        counts[langs.index(k)][slots] += c
+    model, rnd = langid.Mixture(langs, counts), random.Random(4)
+    texts = [t for t in rows["text"][1::2] if t.strip()]
+    for _ in range(40):
+        text = "\n".join(t[: rnd.randrange(50, 900)] for t in rnd.sample(texts, rnd.randrange(1, 4)))
+        slots, c = langid.grams(text.encode())
+        p, n = model.p[slots].astype(float), c.sum()
+        best = None
+        for k in range(1, len(langs) + 1):
+            for own in itertools.combinations(range(len(langs)), k):
+                pi = np.full(k, 1 / k)
+                for _ in range(400):
+                    s = p[:, own] @ pi
+                    pi = pi * ((c / s) @ p[:, own]) / n
+                value = c @ np.log(p[:, own] @ pi) - (k - 1) * (langid.PENALTY + 0.5 * np.log(n))
+                best = max(best or (-np.inf,), (value, own, pi), key=lambda x: x[0])
+        found = dict(model.infer(slots, c))
+        assert set(found) == {langs[k] for k in best[1]}
+        assert all(abs(found[langs[k]] - share) < 0.02 for k, share in zip(best[1], best[2]))
+
+
 def test_every_candidate_language_is_tried():
     import numpy as np
 
