@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: language, near-duplicates, benchmark leaks, secrets, mixture."""
+"""A training corpus from raw documents: language, near-duplicates, benchmark leaks, secrets, mixture.
+
+Defined results: a null or empty text has no language and goes in the first stage. Rows with a null id are judged by their text like
+others, but are never near-duplicates. Rows that repeat an id and a text are one document: all stay, or none; another text under the
+same id is judged by itself. Of documents with equal words the one with the least id stays. Columns beyond those of `documents` pass
+through; where they have the names that the last stage adds, its own get underscores before them. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlake.llm import decontaminate, langid, minhash, mixing, secrets
-from foldlake.llm.common import shared_path, stored, table
+from foldlake.llm.common import free_name, shared_path, stored, table
 
 #: A document stays if its largest language has at least this share of it.
 LEAST_SHARE = 0.5
@@ -23,10 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the least id stays."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, marks=True)
     # stored, so that Spark knows its size when it chooses between broadcasting it and shuffling the texts
-    gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("doc_id")), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "near-duplicates")
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (minhash.mark_of("text") == gone["gone_mark"]), "left_anti")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +48,8 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose sources, languages and topics have the target weights."""
     drawn = mixing.draw(docs)
-    mix = drawn.columns[-1]
-    return drawn.select(*docs.columns, F.col(mix)["topic"].alias("topic"), F.col(mix)["prob"].alias("prob"), F.col(mix)["weight"].alias("weight"))
+    mix = F.col(drawn.columns[-1])
+    return drawn.select(*docs.columns, *[mix[k].alias(free_name(docs, k)) for k in ("topic", "prob", "weight")])
 
 
 STAGES = [
@@ -54,7 +60,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Language identification and near-duplicates have no SQL; tests hold the stages against brute force.
+#: Language identification has no SQL; tests hold the stages against a plain version that shares no code with them.
 ORACLE_SQL = None
 
 
