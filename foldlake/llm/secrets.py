@@ -56,15 +56,28 @@ def version_of(rules: tuple[Rule, ...]) -> str:
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 
 
-def spans_of(rule: Rule, no: int, text: str = "text") -> Column:
-    """The spans of a rule's matches, as SPANS."""
+LENGTHS = "array<struct<piece:int,whole:int,counted:int>>"
+CHUNK = 256  # matches that are folded together: a fold copies what it has at every step
+
+
+def lengths_of(rule: Rule, text: str = "text") -> Column:
+    """For each match of a rule: the length of the text since the match before, of the match, and of the group that counts."""
     pattern = F.lit(rule.pattern)
     pieces = F.transform(F.split(F.col(text), rule.pattern, -1), F.length)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    whole = F.transform(found, F.length)
+    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     counted = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else whole
-    # a match starts after all earlier pieces and matches: running sums by a fold over the zipped lengths
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("piece"), whole.alias("whole"), counted.alias("counted"))
+    zipped = F.transform(zipped, lambda x: F.struct(x["piece"].alias("piece"), x["whole"].alias("whole"), x["counted"].alias("counted")))
+    return F.when(F.col(text).rlike(rule.test), zipped).otherwise(F.array().cast(LENGTHS))
+
+
+def spans_from(lengths: Column, rule: Rule, no: int) -> Column:
+    """The spans (SPANS) of a rule's matches: running sums of lengths_of(), in chunks that begin where the chunks before end."""
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(lengths, i, F.lit(CHUNK)))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["piece"] + x["whole"]))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda a, t: F.struct((a["at"] + t).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    begins = F.aggregate(totals, none, add)["out"]
 
     def step(acc, x):
         begin = acc["at"] + x["piece"]
@@ -73,17 +86,16 @@ def spans_of(rule: Rule, no: int, text: str = "text") -> Column:
         out = F.when(x["counted"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    zipped = F.transform(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("piece"), whole.alias("whole"), counted.alias("counted")),
-        lambda x: F.struct(x["piece"].alias("piece"), x["whole"].alias("whole"), x["counted"].alias("counted")),
-    )
-    return F.when(F.col(text).rlike(rule.test), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(SPANS))
+    own = lambda c, b: F.aggregate(c, F.struct(b.alias("at"), F.array().cast(SPANS).alias("out")), step)["out"]
+    return F.flatten(F.zip_with(chunks, begins, own))
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """texts with a column `spans`: all spans by start, then by the order of the rules."""
-    every = F.concat(*[spans_of(r, k, text) for k, r in enumerate(rules)])
-    return texts.withColumn("spans", F.array_sort(every))
+    names = [free_name(texts, f"lengths_{k}") for k in range(len(rules))]
+    at = texts.withColumns({name: lengths_of(r, text) for name, r in zip(names, rules)})  # columns of their own: patterns run once
+    every = F.concat(*[spans_from(F.col(name), r, k) for k, (name, r) in enumerate(zip(names, rules))])
+    return at.withColumn("spans", F.array_sort(every)).drop(*names)
 
 
 def joined(spans: Column) -> Column:

@@ -257,6 +257,16 @@ def test_secret_spans(spark):
     assert clean.columns == df.columns and clean.where("spans <> 2").count() == 0 and {8, 9, 10} <= {r.doc_id for r in clean.collect()}
 
 
+def test_texts_with_very_many_matches(spark):
+    rnd = random.Random(8)
+    parts = ["deadbeef" * 3, "token=abcdef1", "é😀 x", "AKIA" + "B" * 16, "secret: a", "0" * 23]
+    texts = [" ".join(rnd.choices(parts, k=n)) for n in (255, 256, 257, 700, 20_000)]
+    df = spark.createDataFrame([(None, texts[0])] + list(enumerate(texts)), "doc_id long, text string").withColumn("lengths_0", F.lit(0))
+    out, _ = secrets.scan_with_ledger(df)
+    got = sorted((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.spans if s.kind_no < 3]) for r in out.collect())
+    assert got == sorted([("None", brute_spans(texts[0]))] + [(str(i), brute_spans(t)) for i, t in enumerate(texts)])
+
+
 def test_only_unseen_blobs_are_scanned(spark):
     first, ledger = secrets.scan_with_ledger(docs(spark, SECRETS))
     again, new = secrets.scan_with_ledger(docs(spark, [*SECRETS, "token: abcdefgh"]), ledger)
