@@ -16,7 +16,8 @@ A byte goes if a string of SPAN bytes covers it that also starts in a document w
    round are common prefixes of less than 2h symbols (Egidi & Manzini's Gap), so that after SPAN / 2 rounds the intervals left are
    exactly the suffixes that share SPAN bytes. Each interval's smallest document decides for its members.
    An anchor with more than HOT stretches is dealt to several tasks by document. Each merges its own transforms and settles their
-   intervals; each interval then sends its smallest document, under 128 bits of hash of its string, to a grouped minimum over the tasks.
+   intervals; each interval then sends its smallest document, under 128 bits of hash of its string and packed like the anchors, to
+   where the intervals of all tasks meet, and the smallest of all decides.
 4. The removed spans of a document are joined to its text, merged, and cut out.
 
 Nothing is capped. Stretches that share an anchor are told apart by 64 bits of hash beside the anchor (a polynomial that a crafted text of
@@ -30,6 +31,7 @@ Matches of equal texts under different ids leave the smallest id.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ from foldlake.llm.common import bytes_of, mix, small_batches, stored
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM  # grams of a window, less one
 CHUNK = 200_000  # bytes of stretches merged at once, beyond which a chunk ends with its anchor
-HOT = 1000  # stretches of one anchor that one task merges
+HOT = 2000  # stretches of one anchor that one task merges, about as many as a chunk has
+ACROSS = 500_000  # windows that are settled together across tasks
 SAMPLE, FREQUENT = 8192, 64  # documents of the sample that tells frequent anchors: those in one of FREQUENT or more
 BUCKET_BYTES = 48 << 20  # bytes of text for each bucket of anchors
 
@@ -367,17 +370,20 @@ def _pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return docs.select("id", "data").join(lists, "id").mapInArrow(cut, CUT)
 
 
-FOUND = "id long, start int, end int, a long, b long"
+FOUND = "id long, start int, end int, deal int, packed binary"
+WINDOW = np.dtype([("a", np.int64), ("b", np.int64), ("id", np.int64), ("start", np.int32)])
 
 
-def _merged_spans(pieces: DataFrame) -> DataFrame:
-    """Spans to remove; and of anchors that several tasks share (shards > 1) each interval's windows in its smallest document, by hash."""
+def _merged_spans(pieces: DataFrame, deals: int) -> DataFrame:
+    """Spans to remove; and of anchors that several tasks share (shards > 1) each interval's windows in its smallest document, packed."""
     import xxhash
 
-    def table(ids, start, end, marks=None):
-        none = pa.nulls(len(ids), pa.int64())
-        a, b = (none, none) if marks is None else (pa.array(marks[:, 0]), pa.array(marks[:, 1]))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), a, b], names=["id", "start", "end", "a", "b"])
+    def table(ids, start, end, deal=None, packed=None):
+        none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.binary())]
+        kinds = [pa.int64(), pa.int32(), pa.int32()]
+        spans = [pa.array(c, t) for c, t in zip((ids, start, end), kinds)] if deal is None else [pa.nulls(len(deal), t) for t in kinds]
+        rest = none if deal is None else [pa.array(deal, pa.int32()), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays([*spans, *rest], names=["id", "start", "end", "deal", "packed"])
 
     def merge(batches):
         held, size, last, shared = [], 0, None, False
@@ -393,7 +399,12 @@ def _merged_spans(pieces: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
                 marks = b"".join(xxhash.xxh3_128_digest(strings[s][o : o + SPAN]) for s, o in zip(string[first].tolist(), offset[first].tolist()))
                 marks = np.repeat(np.frombuffer(marks, np.int64).reshape(-1, 2), np.diff(np.append(first, len(string))), axis=0)
-                yield table(ids[string], start[string] + offset, start[string] + offset + SPAN, marks)
+                rows = np.empty(len(string), WINDOW)
+                rows["a"], rows["b"], rows["id"], rows["start"] = marks[:, 0], marks[:, 1], ids[string], start[string] + offset
+                deal = rows["a"] % deals
+                order = np.argsort(deal, kind="stable")
+                some, at = np.unique(deal[order], return_index=True)
+                yield table((), (), (), some, [x.tobytes() for x in np.split(rows[order], at[1:])])
 
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("bucket", "anchor", "shard", "shards", "id", "start", "piece"))
@@ -412,6 +423,35 @@ def _merged_spans(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, FOUND)
 
 
+def _spans_across(packed: DataFrame, deals: int) -> DataFrame:
+    """Of windows that several tasks sent, those that a smaller document holds: packed rows of a deal, which has about ACROSS windows."""
+
+    def judge(held: list[bytes]):
+        rows = np.frombuffer(b"".join(held), WINDOW)
+        rows = rows[np.lexsort((rows["b"], rows["a"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
+        gone = rows[rows["id"] > least_of(rows["id"], np.cumsum(new))]
+        # windows of a document that follow each other are one span
+        gone = gone[np.lexsort((gone["start"], gone["id"]))]
+        string, a, b = runs_of(gone["id"].copy(), gone["start"].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(string, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "start", "end"])
+
+    def meet(batches):
+        now, held = None, []
+        for batch in batches:
+            for deal, data in zip(batch.column("deal").to_pylist(), batch.column("packed").to_pylist()):
+                if held and deal != now:
+                    yield judge(held)
+                    held = []
+                now = deal
+                held.append(data)
+        if held:
+            yield judge(held)
+
+    return packed.select("deal", "packed").repartition(deals, "deal").sortWithinPartitions("deal").mapInArrow(meet, SPANS)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -438,16 +478,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = met.where("not open").select("id", "start", (F.col("start") + F.col("length")).alias("end"))
     open_ = met.where("open")
     hot = open_.groupBy("bucket", "anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    hot = stored(hot.select("bucket", "anchor", F.ceil(F.col("n") / HOT).cast("int").alias("several")), "hot-anchors")
-    pieces = stored(_pieces(base, open_), "pieces").join(hot, ["bucket", "anchor"], "left")
+    hot = stored(hot.select("bucket", "anchor", "n", F.ceil(F.col("n") / HOT).cast("int").alias("several")), "hot-anchors")
+    deals = math.ceil((hot.agg(F.sum("n")).first()[0] or 0) * (REACH + 1) / ACROSS)
+    pieces = stored(_pieces(base, open_), "pieces").join(hot.drop("n"), ["bucket", "anchor"], "left")
     pieces = pieces.withColumn("shards", F.coalesce("several", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    found = stored(_merged_spans(pieces), "merged-spans")
-    spans = spans.unionByName(found.where("a is null").select("id", "start", "end"))
-    if not hot.isEmpty():
-        across = found.where("a is not null")
-        least = across.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        least = stored(least, "least-of-intervals")
-        spans = spans.unionByName(across.join(least, ["a", "b"]).where("id > least").select("id", "start", "end"))
+    found = stored(_merged_spans(pieces, deals), "merged-spans")
+    spans = spans.unionByName(found.where("deal is null").select("id", "start", "end"))
+    if deals:
+        spans = spans.unionByName(stored(_spans_across(found.where("deal is not null"), deals), "spans-across"))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as a document has stretches
     return stored(spans, "repeated-spans")
 
