@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foldlake.functions.codec import level_target
 
@@ -54,10 +55,17 @@ def pick_l0(files: DataFrame) -> DataFrame:
     return zero.unionByName(overlapping(files.where("level = 1"), hull(zero)))
 
 
-def pick_ln(files: DataFrame, level: int) -> DataFrame:
-    """The first file of a level, and the files of the next that overlap it."""
-    one = candidate(files.where(F.col("level") == level))
-    return one.unionByName(overlapping(files.where(F.col("level") == level + 1), hull(one)))
+def surplus(files: DataFrame, room: int) -> DataFrame:
+    """The first files of a level by key, so many that those left have less than room bytes (with 0, all): what candidate() would give one by one."""
+    w = Window.orderBy(F.desc("min_key"), F.desc("file_id")).rowsBetween(Window.unboundedPreceding, 0)  # metadata of one level
+    return files.withColumn("_from_here", F.sum("file_size").over(w)).where(F.col("_from_here") >= F.lit(room)).drop("_from_here")
+
+
+def pick_ln(files: DataFrame, level: int, room: int | None = None) -> DataFrame:
+    """The first file of a level, with room its surplus(), and the files of the next that overlap them."""
+    own = files.where(F.col("level") == level)
+    own = candidate(own) if room is None else surplus(own, room)
+    return own.unionByName(overlapping(files.where(F.col("level") == level + 1), hull(own)))
 
 
 def without(files: DataFrame, inputs: DataFrame) -> DataFrame:

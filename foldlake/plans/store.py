@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldlake.functions.codec import entry_size
+from foldlake.functions.codec import ENTRY_HEADER, entry_size
 from foldlake.operators import fold, levels, merge, recovery
 from foldlake.operators.model import LOG, VALUE, checked, tombstone_
 from foldlake.sources.binary import CorruptData
+from foldlake.sources.shipping import drop_stored, stored
 
 TRIES = 3
 MAX_LEVEL = 4
@@ -221,7 +222,9 @@ class Store:
         name = self._new_name()
         path = f"{self.folder}/runs/{name}"
         ranged = rows.select(*LOG.names).repartitionByRange(max(1, math.ceil(size / target)), "key")
-        ranged.sortWithinPartitions("key", F.desc("lsn")).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        most = max(1, min(size, target) // ENTRY_HEADER)  # keys of a file; without it, each has a bloom filter of 1 MB, however small it is
+        bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(most)}
+        ranged.sortWithinPartitions("key", F.desc("lsn")).write.options(**bloom).parquet(path)
         held = self.spark.read.schema(LOG).parquet(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"[^/]+$", 0))
         meta = held.groupBy("file").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(entry_size()).alias("file_size"))
         return meta.select(F.lit(level).alias("level"), "file_size", "min_key", "max_key", F.concat(F.lit(f"{name}/"), "file").alias("name"))
@@ -253,18 +256,24 @@ class Store:
 
         return self.commit(change)
 
-    def compact(self, level: int = 0, target: int = levels.FILE_BYTES, oldest_reader: int | None = None) -> Manifest:
-        """Merge a level's files with those they overlap one level down; where nothing lies deeper, tombstones go."""
+    def compact(self, level: int = 0, target: int = levels.FILE_BYTES, oldest_reader: int | None = None, room: int | None = None) -> Manifest:
+        """Merge a level's files with those they overlap one level down; where nothing lies deeper, tombstones go.
+
+        Of level 0 all files go, of others the first one, or with room all but the last ones that have less than room bytes: 0 empties it.
+        """
         m = self.manifest()
         files = self.files(m)
-        picked = levels.pick_l0(files) if level == 0 else levels.pick_ln(files, level)
-        n, size = picked.agg(F.count(F.lit(1)), F.sum("file_size")).first()
+        picked = levels.pick_l0(files) if level == 0 else levels.pick_ln(files, level, room)
+        n = picked.count()
         if not n:
             return m
         rows = merge.dedup(self._union(self._runs(picked)).drop("tier"), oldest_reader=oldest_reader)
         if oldest_reader is None and files.where(F.col("level") > level + 1).isEmpty():
             rows = merge.drop_tombstones(rows)
+        rows = stored(rows, "merged")  # files are cut by what is left of the inputs; ranging them reads the rows twice as well
+        size = rows.agg(F.coalesce(F.sum(entry_size()), F.lit(0))).first()[0]
         new = self._write_run(rows, size, min(level + 1, MAX_LEVEL), target)
+        drop_stored(rows)
 
         def change(now: Manifest) -> Manifest:
             if self.files(now).join(picked.select("file_id"), "file_id", "left_semi").count() != n:
@@ -278,8 +287,10 @@ class Store:
         m = self.manifest()
         if levels.flush_due(len({s["epoch"] for s in m.segments} | {m.epoch})):
             self.flush(target, frozen=True)
-        while due := [r["level"] for r in levels.triggers(self.files(), base).where("due").collect() if r["level"] < MAX_LEVEL]:
-            self.compact(min(due), target)
+        # a level goes down at once as far as it is above its bytes: file by file, a job each, small files would take thousands of jobs
+        while due := [(r["level"], r["target_bytes"]) for r in levels.triggers(self.files(), base).where("due").collect() if r["level"] < MAX_LEVEL]:
+            level, room = min(due)
+            self.compact(level, target, room=room)
         return self.manifest()
 
     def gc_candidates(self, keep: int = 2) -> DataFrame:

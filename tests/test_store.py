@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlake.functions import codec
-from foldlake.operators import model
+from foldlake.operators import levels, model
 from foldlake.plans import catalog
 from foldlake.plans.store import CommitConflict, Manifest, Store, StoreNotFound
 from foldlake.sources import binary
@@ -192,3 +192,19 @@ def test_manifests_are_created_once(spark, tmp_path):
     store = Store.create(spark, str(tmp_path / "s"))
     assert store._write_manifest(Manifest(version=1)) and not store._write_manifest(Manifest(version=1, next_id=9))
     assert store.manifest(1).next_id == 1 and not [n for n in store._names("manifests") if n.endswith(".tmp")]
+
+
+def test_maintenance_takes_a_job_a_level(spark, tmp_path, monkeypatch):
+    store = Store.create(spark, str(tmp_path / "s"), memtable_bytes=1)
+    for i in range(5):
+        store.put(ints(spark, [(f"k{j:03d}", i) for j in range(150)]), ["key"])
+    jobs, compact = [], Store.compact
+    monkeypatch.setattr(Store, "compact", lambda self, level, *a, **how: jobs.append(level) or compact(self, level, *a, **how))
+    store.maintain(target=300, base=30)
+    sizes = {r.level: r.level_bytes for r in levels.level_sizes(store.files()).collect()}
+    assert jobs == [0, 1, 2] and sizes.get(1, 0) < 300 and sizes.get(2, 0) < 3000  # one file at a time took 20 jobs and more
+    assert sizes[3] + sizes.get(2, 0) + sizes.get(1, 0) == 150 * 27  # the newest versions alone
+    assert keys_of(store.read()) == {f"k{j:03d}": 4 for j in range(150)}
+    files = [p for p in (tmp_path / "s/runs").rglob("*.parquet") if p.stat().st_size > 100_000]
+    assert not files  # a bloom filter fits its file
+    assert store.files().where("level = 3").count() < 16  # files have about target bytes after the merge
