@@ -123,7 +123,7 @@ def store_levels(spark, d):
         store.put(as_model(part), ["lsn"])
         store.flush()
         for level in range(depth):
-            store.compact(level)
+            store.compact(level, room=0)
     return from_model(store.log())
 
 

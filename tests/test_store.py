@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlake.functions import codec
-from foldlake.operators import levels, model
-from foldlake.plans import catalog
+from foldlake.operators import fold, levels, model
+from foldlake.plans import catalog, catalog_store  # noqa: F401
 from foldlake.plans.store import CommitConflict, Manifest, Store, StoreNotFound
 from foldlake.sources import binary
 from foldlake.streaming import stream
@@ -22,6 +22,7 @@ GOLDEN = [
     ((b"", 100, "bytes", b"", None, None, False), "6723911f" "64000000000000000000" "0000000000"),
 ]
 MAGIC = bytes.fromhex("bebafeca")
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_entries_encode_to_the_golden_bytes(spark):
@@ -194,6 +195,12 @@ def test_manifests_are_created_once(spark, tmp_path):
     assert store.manifest(1).next_id == 1 and not [n for n in store._names("manifests") if n.endswith(".tmp")]
 
 
+def of_many_files(monkeypatch, target=600):
+    """Runs of stores have files of about target bytes, whatever their callers want."""
+    write = Store._write_run
+    monkeypatch.setattr(Store, "_write_run", lambda self, rows, size, level, _: write(self, rows, size, level, target))
+
+
 def test_maintenance_takes_a_job_a_level(spark, tmp_path, monkeypatch):
     store = Store.create(spark, str(tmp_path / "s"), memtable_bytes=1)
     for i in range(5):
@@ -208,3 +215,12 @@ def test_maintenance_takes_a_job_a_level(spark, tmp_path, monkeypatch):
     files = [p for p in (tmp_path / "s/runs").rglob("*.parquet") if p.stat().st_size > 100_000]
     assert not files  # a bloom filter fits its file
     assert store.files().where("level = 3").count() < 16  # files have about target bytes after the merge
+
+
+def test_levels_of_many_files(spark, monkeypatch):
+    of_many_files(monkeypatch)
+    df = catalog.log(spark, SMALL)
+    half = df.agg(F.max("lsn")).first()[0] // 2
+    older = {(r.k, r.lsn, 2) for r in catalog.latest(df.where(f"lsn <= {half}")).collect()}
+    newer = {(r.k, r.lsn, 1) for r in fold.newest(df.where(f"lsn > {half}"), "k", "lsn").collect()}
+    assert {(r.k, r.lsn, r.tier) for r in catalog.QUERIES["store_levels"](spark, SMALL).collect()} == older | newer
