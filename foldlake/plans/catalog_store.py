@@ -137,7 +137,7 @@ def store_compact_ln(spark, d):
         store.put(as_model(part), ["lsn"])
         store.flush()
         store.compact(0)
-        store.compact(1)
+        store.compact(1, room=0)
     return from_model(store.log())
 
 

@@ -224,3 +224,9 @@ def test_levels_of_many_files(spark, monkeypatch):
     older = {(r.k, r.lsn, 2) for r in catalog.latest(df.where(f"lsn <= {half}")).collect()}
     newer = {(r.k, r.lsn, 1) for r in fold.newest(df.where(f"lsn > {half}"), "k", "lsn").collect()}
     assert {(r.k, r.lsn, r.tier) for r in catalog.QUERIES["store_levels"](spark, SMALL).collect()} == older | newer
+
+
+def test_the_lowest_level_of_many_files(spark, monkeypatch):
+    of_many_files(monkeypatch)
+    want = {(r.k, r.lsn, 2) for r in catalog.latest(catalog.log(spark, SMALL)).collect()}
+    assert {(r.k, r.lsn, r.tier) for r in catalog.QUERIES["store_compact_ln"](spark, SMALL).collect()} == want
