@@ -6,11 +6,11 @@ cell's probability is its share of the token budget over its tokens, at most 1;
 others. A drawn document's weight (calibrated share over probability) lets weighted sums keep to the targets where cells are capped.
 
 Topics are learned: texts are described by what share of them each of CLASSES of characters makes up and by their length, and the
-profiles of a bounded sample (TOPIC_SAMPLE texts by a hash) are clustered by k-means, which starts from profiles far apart; every document
+profiles of all texts are clustered by k-means, which starts from profiles far apart and takes TOPIC_STEPS steps at most; every document
 gets the nearest centre. Profiles are whole numbers, so that centres are the same at every run.
 
-All of it is DataFrame functions. Tokens are counted once, into a narrow table; after that only the table of cells, which has a row
-for each combination that occurs, is aggregated and joined. Hot sources cost nothing special: sums are taken where rows lie, and
+All of it is DataFrame functions. Profiles and tokens are taken once, into a narrow table; after the topics only the table of cells, which
+has a row for each combination that occurs, is aggregated and joined. Hot sources cost nothing special: sums are taken where rows lie, and
 cells are joined by a key that they have once.
 
 Defined results: null source, language or topic is the value '' of its own; null texts have no tokens and are drawn with their
@@ -23,6 +23,7 @@ and shares are those of that round. Topics tie to the centre that comes first.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -41,7 +42,7 @@ STRIDE = 4
 
 #: Classes of characters whose shares describe a text.
 CLASSES = (r"[0-9]", r"[A-Z]", r"[!-/:-@\[-`{-~]", r"\n", r" ")
-TOPICS, TOPIC_SAMPLE, TOPIC_STEPS = 6, 100_000, 12
+TOPICS, TOPIC_STEPS = 6, 12
 
 
 def profile(text: str = "text") -> list[Column]:
@@ -71,21 +72,27 @@ class Topics:
         far = F.array(*[F.struct(d.alias("d"), F.lit(k).alias("k")) for k, d in enumerate(self.far(numbers))])
         return F.array_min(far)["k"]
 
+    def named(self, numbers: list[Column]) -> Column:
+        return F.concat(F.lit("topic-"), self.nearest(numbers).cast("string")) if self.centres else F.lit("")
+
     def of(self, text: str = "text") -> Column:
-        return F.concat(F.lit("topic-"), self.nearest(profile(text)).cast("string")) if self.centres else F.lit("")
-
-
-def learn_topics(docs: DataFrame, text: str = "text", k: int = TOPICS) -> Topics:
-    """k centres or fewer, if there are fewer different profiles."""
-    n = docs.count()
-    share = max(1, n // TOPIC_SAMPLE)
-    chosen = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(share)) == 0))
-    names = [f"x{i}" for i in range(len(CLASSES) + 1)]
-    numbers = [F.col(x) for x in names]
-    seen = chosen.select(*[c.alias(x) for c, x in zip(profile(text), names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("many"))
-    seen = stored(seen.coalesce(1), "profiles")  # at most as many as the sample has texts
-    weigh = lambda x: F.sum(F.col(x) * F.col("many"))
-    facts = seen.agg(F.sum("many"), *[weigh(x) for x in names], *[F.sum(F.col(x) * F.col(x) * F.col("many")) for x in names]).first()
+        return self.named(profile(text))
+
+
+NUMBERS = [f"x{i}" for i in range(len(CLASSES) + 1)]
+
+
+def described(docs: DataFrame, text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """A narrow stored table with a row a document: whether it has a text (`known`), its profile (NUMBERS), and more columns."""
+    numbers = [c.alias(x) for c, x in zip(profile(text), NUMBERS)]
+    return stored(docs.select(F.col(text).isNotNull().alias("known"), *numbers, *more), "profiles")
+
+
+def learn_topics(rows: DataFrame, k: int = TOPICS) -> Topics:
+    """k centres, or fewer if there are fewer different profiles, of all known rows of described()."""
+    names, numbers = NUMBERS, [F.col(x) for x in NUMBERS]
+    seen = rows.where("known")
+    facts = seen.agg(F.count(F.lit(1)), *[F.sum(x) for x in names], *[F.sum(F.col(x) * F.col(x)) for x in names]).first()
     if not facts[0]:
         return Topics((), ())
     d, total = len(names), float(facts[0])
@@ -101,7 +108,7 @@ def learn_topics(docs: DataFrame, text: str = "text", k: int = TOPICS) -> Topics
         centres.append(tuple(float(far_off[x]) for x in names))
         topics = Topics(tuple(centres), scale)
     for _ in range(TOPIC_STEPS):
-        rows = seen.groupBy(topics.nearest(numbers).alias("k")).agg(F.sum("many").alias("n"), *[weigh(x).alias(x) for x in names]).collect()  # k rows
+        rows = seen.groupBy(topics.nearest(numbers).alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in names]).collect()  # k rows
         new = list(topics.centres)
         for r in rows:
             new[r["k"]] = tuple(r[x] / float(r["n"]) for x in names)
@@ -207,10 +214,15 @@ def uniform(key: Column, seed: int) -> Column:
 
 def mixed(docs: DataFrame, plan: Plan = Plan(), topic: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with struct column `mix`: cell, share of the cell, tokens, probability, weight, and whether the document is drawn."""
-    at = with_cells(docs, learn_topics(docs, text).of(text) if topic is None else topic)
-    cell = at.columns[-1]
-    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN)).cast("bigint")
-    cells = stored(at.select(f"`{cell}`.*", tokens.alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
+    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN)).cast("bigint").alias("n")
+    if topic is None:  # texts are read once for topics and cells, once for the result
+        rows = described(docs, text, [F.col("source"), F.col("lang"), tokens])
+        topics = learn_topics(rows)
+        at, counted = with_cells(docs, topics.of(text)), with_cells(rows, topics.named([F.col(x) for x in NUMBERS]))
+    else:
+        at = counted = with_cells(docs, topic)
+    cell, n = at.columns[-1], tokens if topic is not None else F.col("n")
+    cells = stored(counted.select(f"`{counted.columns[-1]}`.*", n).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
     drawn = stored(calibrate(rake(cells, plan), plan), "calibrated")
     drawn = drawn.select(F.struct(*DIMENSIONS).alias("of_cell"), F.struct("tokens", "share", "prob").alias("of"))
     out = at.join(drawn, at[cell] == drawn["of_cell"])

@@ -287,3 +287,16 @@ def test_columns_with_the_names_of_ours(spark):
     tie = mixing.Topics(((0.0,) * 6, (2.0,) * 6), (1.0,) * 6)
     near = spark.range(1).select(*[F.lit(1).cast("bigint").alias(f"x{i}") for i in range(6)]).select(tie.nearest([F.col(f"x{i}") for i in range(6)])).first()[0]
     assert near == 0
+
+
+def test_topics_are_learned_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOPIC_SAMPLE", 10, raising=False)
+    texts = ["x" * 40 + str(10**i) * (i + 1) for i in range(15)] * 20 + ["a b C\n"] * 7 + [None]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    met, learn = [], mixing.learn_topics
+    monkeypatch.setattr(mixing, "learn_topics", lambda *how: met.append(learn(*how)) or met[-1])
+    got = mixing.mixed(docs).select("doc_id", "mix.topic").collect()
+    numbers = np.array([tuple(r) for r in docs.where("text is not null").select(*mixing.profile()).collect()], float)
+    assert np.allclose(met[0].scale, np.maximum(1.0, numbers.var(axis=0)) ** 0.5)
+    centres, known = np.array(met[0].centres), [int(r.topic[6:]) for r in sorted(got)][: len(numbers)]
+    assert all(np.allclose(centres[k], numbers[np.array(known) == k].mean(axis=0)) for k in set(known))
