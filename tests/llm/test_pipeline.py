@@ -216,3 +216,14 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert left[3] == left[2] == [x for x in left[1] if x[0] != "5"]
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path / "full"))
     assert mixed.columns == [*docs.columns, "_topic", "prob", "weight"]
+
+
+def test_the_last_stage_learns_from_all_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "TOPIC_SAMPLE", 10, raising=False)
+    texts = ["x" * 40 + str(10**i) * (i + 1) for i in range(15)] * 20 + ["a b C\n"] * 7
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    want = plain_topics(texts)
+    got = {r.doc_id: r.topic for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()}
+    assert got and all(topic == want[i] for i, topic in got.items())
