@@ -8,10 +8,10 @@ Bayesian information criterion's price). The prediction is the language with the
 The mixture log-likelihood is concave, so max_j n*(g_j - 1), g being its gradient at the current proportions, bounds what any
 further language could add. Most texts stop at that test after one language, without EM.
 
-The distributions are learned from a bounded sample: about SAMPLE_ROWS different labelled texts of each language, chosen by a hash of
-the text, at whole length; copies count once, so a label with one text is learned like any other. LANGUAGES bounds how many label
-values are learned (a warning says so if there are more), as each takes SLOTS numbers in every task. Expectation-maximisation runs
-until the likelihood rises by less than TOLERANCE nats. Prediction reads only the text.
+The distributions are learned from all labelled texts, at whole length; copies count once, so a label with one text is learned like
+any other. Texts whose hash no other has are counted where they lie; those that a Bloom filter of repeated hashes passes are shuffled
+and told apart as a whole, so the filter's errors and equal hashes change no count. LANGUAGES bounds how many label values are learned (a warning says so if there are more), as each takes SLOTS numbers in
+every task. Expectation-maximisation runs until the likelihood rises by less than TOLERANCE nats. Prediction reads only the text.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled text all are `und`. Repeated
 rows are predicted alike; ties in likelihood or proportion go to the language that sorts first; null ids and extra columns don't matter.
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldlake.llm.common import field, free_name, small_batches
+from foldlake.llm import urlfilter
+from foldlake.llm.common import drop_stored, field, free_name, small_batches, stored
 
-#: Different labelled texts a language that the distributions are learned from, or somewhat more.
-SAMPLE_ROWS = 1500
-#: Most label values that are learned: those with the most documents.
+#: Most label values that are learned: those with the most different texts.
 LANGUAGES = 512
+#: Bits of the filter of repeated texts for each of them, and at most; a fuller one only passes more.
+FILTER_BITS, MOST_FILTER_BITS = 10.0, 1 << 23
 #: Slots that n-grams are hashed to.
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -132,23 +133,29 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Mixture:
-    """Count n-grams of a bounded sample of each language where the texts lie, and sum the counts by slot."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int | None = None) -> Mixture:
+    """Count n-grams of the different texts of each language, and sum the counts by slot. rows: only so many texts a language, or somewhat more."""
     spark = labelled.sparkSession
     small_batches(spark)
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    # different texts, within a few percent, and without a shuffle of texts
-    sizes = usable.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    usable = usable.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("data"))
+    key = F.xxhash64("lang", "data")
+    keys = stored(usable.groupBy("lang", key.alias("key")).agg((F.count(F.lit(1)) > 1).alias("repeated")), "text-keys")
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         warnings.warn(f"more than {LANGUAGES} labels: those with the most texts are learned", stacklevel=2)
+        usable = usable.where(F.col("lang").isin([r["lang"] for r in sizes[:LANGUAGES]]))
     known = {r["lang"]: r["n"] for r in sizes[:LANGUAGES]}
     if not known:
         return Mixture([], np.zeros((0, SLOTS)))
-    # a text is in if its hash falls below the share of its language's texts that the sample has room for
-    share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 1.1 * rows / max(n, 1)))])[F.col(lang)]
-    chosen = usable.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * float(1 << 20))
-    chosen = chosen.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("data")).distinct()  # copies count once
+    chosen = usable
+    if rows is not None:  # a text is in if its hash falls below the share of its language's texts that there is room for
+        share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 1.1 * rows / max(n, 1)))])[F.col("lang")]
+        chosen = usable.where(F.pmod(F.xxhash64("data"), F.lit(1 << 20)) < share * float(1 << 20))
+    if n := (repeated := keys.where("repeated")).count():  # copies count once
+        repeats = urlfilter._build(repeated, n, 0, min(FILTER_BITS, MOST_FILTER_BITS / n)).passes(key, 0)
+        chosen = chosen.where(~repeats).unionAll(chosen.where(repeats).distinct())
+    drop_stored(keys)
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

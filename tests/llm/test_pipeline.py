@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.llm import mixing
+from foldlake.llm import langid, mixing
 from test_llm_text import brute_components, brute_hits, brute_spans
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +227,25 @@ def test_the_last_stage_learns_from_all_texts(spark, monkeypatch):
     want = plain_topics(texts)
     got = {r.doc_id: r.topic for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()}
     assert got and all(topic == want[i] for i, topic in got.items())
+
+
+@pytest.mark.parametrize("bits", [None, 1])
+def test_the_first_stage_learns_from_all_texts(spark, monkeypatch, bits):
+    import corpus_pipeline
+
+    if bits:  # a filter that passes texts without copies as well
+        monkeypatch.setattr(langid.urlfilter, "MIN_BITS", 64)
+        monkeypatch.setattr(langid, "FILTER_BITS", bits)
+    rnd = random.Random(6)
+    own = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(3))
+    rows = [(own("abcdefgh"), "en") for _ in range(4000)] + [(own("ghijkl"), "fr") for _ in range(300)]
+    rows += rows[:50] * 3 + [(None, "en"), (own("xyz"), None)]
+    docs = spark.createDataFrame([(i, t, k, "s") for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    models, learn = [], langid.learn
+    monkeypatch.setattr(langid, "learn", lambda *a, **how: models.append(learn(*a, **how)) or models[-1])
+    corpus_pipeline.identify_language(spark, docs, SF)
+    counts = np.zeros((2, langid.SLOTS))
+    for text, k in {(t, k) for t, k in rows if t and k}:
+        for slot, n in plain_grams(text.encode()).items():
+            counts[["en", "fr"].index(k), slot] += n
+    assert models[0].langs == ["en", "fr"] and (models[0].p == langid.Mixture(["en", "fr"], counts).p).all()
