@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlake.llm import decontaminate, langid, minhash, mixing, secrets
+from foldlake.llm import decontaminate, langid, minhash, mixing, secrets, urlfilter
 from foldlake.llm.common import free_name, shared_path, stored, table
 
 #: A document stays if its largest language has at least this share of it.
@@ -30,9 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the least id stays."""
     found = minhash.near_duplicates(docs, marks=True)
-    # stored, so that Spark knows its size when it chooses between broadcasting it and shuffling the texts
+    # stored, so that Spark knows its size when it chooses between broadcasting it and shuffling texts
     gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "near-duplicates")
-    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (minhash.mark_of("text") == gone["gone_mark"]), "left_anti")
+    # texts that a Bloom filter of the ids stops can't go, so only the others are joined: a shuffle moves little more than the texts that go
+    suspect = urlfilter.level_for(gone.select(F.col("gone_id").alias("key")).distinct()).passes(F.col("doc_id").cast("bigint"), 0)
+    left = docs.where(suspect)
+    left = left.join(gone, (left["doc_id"] == gone["gone_id"]) & (minhash.mark_of("text") == gone["gone_mark"]), "left_anti")
+    return docs.where(~suspect).union(left)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldlake.llm import urlfilter
 from foldlake.llm.common import WordHashes, bytes_of, drop_stored, mix, small_batches, stored, words
 from foldlake.llm.components import components
 
@@ -108,7 +109,10 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, own): the sorted set of each text whose id is in ids (stored, so that its size is known before the join)."""
+    """(id, own): the sorted set of each text whose id is in ids, and of the few others that pass a Bloom filter of ids.
+
+    No text is shuffled: a join with ids would move all of them once ids is too long to be broadcast.
+    """
 
     def answer(batches):
         hashes = WordHashes()
@@ -116,7 +120,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -
             sets = [shingle_set(data, hashes, size).view(np.int64) for data in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "own"])
 
-    chosen = docs.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data")).join(ids, "id", "left_semi")
+    listed = urlfilter.level_for(ids.select(F.col("id").alias("key")))
+    chosen = docs.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("data")).where(listed.passes(F.col("id"), 0))
     return chosen.mapInArrow(answer, "id long, own array<long>")
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from foldlake.llm.common import free_name, stored
 
 BITS, HASHES = 10, 4
+ALONE_BITS = 16  # of a level that no other corrects
 MIN_BITS, MAX_BITS = 1 << 10, 1 << 26
 MOST_LEVELS = 64
 
@@ -106,6 +107,12 @@ def _build(keys: DataFrame, n: int, level: int, bits_a_key: float) -> Level:
     return Level(bits, hashes, tuple(words))
 
 
+def level_for(keys: DataFrame) -> Level:
+    """A level (of number 0) that all the keys (column `key`, distinct) pass. It has MAX_BITS at most: of longer lists, more other keys pass too."""
+    n = keys.count()
+    return _build(keys, n, 0, min(ALONE_BITS, MAX_BITS / max(1, n)))
+
+
 def _bits_a_key(n: int, universe: int) -> float:
     """Of the first level; later ones have BITS."""
     return BITS + max(0.0, math.log2(max(1, universe) / n)) / math.log(2)

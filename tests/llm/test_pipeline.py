@@ -249,3 +249,41 @@ def test_the_first_stage_learns_from_all_texts(spark, monkeypatch, bits):
         for slot, n in plain_grams(text.encode()).items():
             counts[["en", "fr"].index(k), slot] += n
     assert models[0].langs == ["en", "fr"] and (models[0].p == langid.Mixture(["en", "fr"], counts).p).all()
+
+
+def shuffled_bytes(spark, run):
+    """What run() returns, and the bytes that its stages shuffled."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+    found = store.stageList(None, False, False, none, None)
+    before = stages()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.stageList(None, False, False, none, None)
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("bits", [None, 1])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, bits):
+    """Whatever Spark can broadcast; with a filter of one bit an id most texts pass it, which changes no result."""
+    import corpus_pipeline
+
+    if bits:
+        monkeypatch.setattr(langid.urlfilter, "MIN_BITS", 64)
+        monkeypatch.setattr(langid.urlfilter, "ALONE_BITS", bits)
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1500)) for _ in range(300)]
+    texts += [texts[3] + " more", texts[5], "of one id", texts[3] + " more still"]
+    ids = [*range(302), 301, None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = corpus_pipeline.stored(docs, "documents")
+        got, moved = shuffled_bytes(spark, lambda: corpus_pipeline.drop_near_duplicates(spark, stored, SF).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [x for k, x in enumerate(zip(ids, texts)) if k not in (300, 301)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert bits or moved < sum(map(len, texts)) / 3
